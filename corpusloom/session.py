@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +30,26 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever the driver was started from; once for a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:
+        name = f"{d}/corpusloom-{sc.applicationId}.zip"
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*")):
+                if p.suffix in (".py", ".npz"):
+                    z.write(p, p.relative_to(root.parent))
+        keep = Path(SparkFiles.getRootDirectory()) / Path(name).name
+        shutil.copy(name, keep)
+        sc.addPyFile(str(keep))
+    sc._corpusloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
