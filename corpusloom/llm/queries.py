@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import stock, unify
+from . import overlap, stock, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.found(table(spark, d, "records"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.found(table(spark, d, "records"))
 
