@@ -69,9 +69,9 @@ def with_site(records: DataFrame, key: str = "rid") -> DataFrame:
     return records.select(F.col(key).cast("long").alias(key), F.xxhash64(site_of(F.col("source_url"), F.col("collection"))).alias("site"), F.col("text").cast("string").alias("text"))
 
 
-def stock_nodes(lines: DataFrame) -> DataFrame:
+def stock_nodes(lines: DataFrame, sites: DataFrame) -> DataFrame:
     """(site, key, support, site_rows) of the lines found in enough rows of their site; counted over all rows."""
-    totals = lines.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows")).where(F.col("site_rows") >= LEAST_ROWS)
+    totals = sites.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows")).where(F.col("site_rows") >= LEAST_ROWS)
     nodes = lines.select("site", F.explode(F.array_distinct("line_key")).alias("line_key")).groupBy("site", "line_key").agg(F.count(F.lit(1)).alias("support"))
     return nodes.where(F.col("support") >= LEAST_ROWS).join(totals, "site").where(F.col("support") * LEAST_SHARE >= F.col("site_rows"))
 
@@ -114,7 +114,7 @@ def stock_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph(lines: DataFrame) -> DataFrame:
     """Stock blocks of every site, from the lines of all its rows."""
-    nodes = stock_nodes(lines)
+    nodes = stock_nodes(lines, lines)
     return stock_blocks(nodes, stock_edges(lines, stock_by_site(nodes)))
 
 
@@ -151,9 +151,15 @@ def drop_lines(cp: np.ndarray, off: np.ndarray, stock: pa.Array) -> tuple[np.nda
     return C.keep(cp, off, np.cumsum(flag[:-1]) == 0)
 
 
+def stock_of(records: DataFrame, key: str = "rid") -> DataFrame:
+    """(site, stock_keys) of all sites; the rows of a site are counted without reading the text."""
+    sites = records.select(F.xxhash64(site_of(F.col("source_url"), F.col("collection"))).alias("site"))
+    return stock_by_site(stock_nodes(site_lines(records, key), sites)).select("site", "stock_keys")
+
+
 def with_stock(records: DataFrame, key: str = "rid") -> DataFrame:
     """(key, site, text, stock_keys): each record beside the stock lines of its site, null where it has none."""
-    by_site = stock_by_site(stock_nodes(site_lines(records, key))).select("site", "stock_keys")
+    by_site = stock_of(records, key)
     return with_site(records, key).join(by_site, "site", "left")
 
 
