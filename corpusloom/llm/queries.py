@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import overlap, stock, unify
+from . import language, overlap, pii, stock, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.found(table(spark, d, "records"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "records"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
 
