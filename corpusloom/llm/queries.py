@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import language, overlap, pii, stock, unify
+from . import language, overlap, pairs, pii, residue, stock, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.found(table(spark, d, "records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "enrichment_pairs"), table(spark, d, "enrichment_queue"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "records"))
 
