@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import language, overlap, pairs, pii, residue, stock, unify
+from . import language, mixture, overlap, packing, pairs, pii, quotas, residue, stock, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.found(table(spark, d, "records"))
 
 
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.sample(table(spark, d, "records"), table(spark, d, "sampling_plans"), table(spark, d, "sampling_targets"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.report(table(spark, d, "records"), table(spark, d, "sampling_plans"), table(spark, d, "sampling_targets"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "records"))
 
@@ -34,6 +42,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "records"))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "packing_specs"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(table(spark, d, "documents"), table(spark, d, "packing_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "documents"))
 

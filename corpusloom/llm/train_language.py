@@ -19,7 +19,7 @@ import pyarrow.parquet as pq
 from . import gru, markup
 from .language import CODES, code_of
 
-SAMPLE, HIDDEN, STEPS, BATCH, WIDTH = 24_000, 24, 1400, 192, 192
+SAMPLE, HIDDEN, STEPS, BATCH, WIDTH = 24_000, 16, 2000, 192, 192
 
 ENDS = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 
@@ -40,7 +40,7 @@ def batch(pool: list, by: list, rng: np.random.Generator) -> tuple:
     data, label, start, size = [], [], [], []
     at = 0
     for _ in range(BATCH):
-        s, y = pool[by[rng.integers(len(by))][0]] if False else pool[rng.choice(by[rng.integers(len(by))])]
+        s, y = pool[rng.choice(by[rng.integers(len(by))])]
         parts = [(s, y)]
         while sum(len(x) for x, _ in parts) < WIDTH and rng.random() < 0.7:
             k = y if rng.random() < 0.5 else rng.integers(len(by))
