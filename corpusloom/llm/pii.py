@@ -79,7 +79,7 @@ def tag(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     p = net()
     live = np.flatnonzero(n > 0)
     e = lstm.emissions(p, data, at[:-1][live], n[live])
-    tags = lstm.viterbi(e, p["tr"], at[:-1][live], n[live])
+    tags = lstm.viterbi(e, p["tr"], *lstm.lively(e, at[:-1][live], n[live]))
     take = (inner >= np.repeat(np.where(a > 0, MARGIN, 0), n)) & (inner < np.repeat(np.where(last, n, n - MARGIN), n))
     out = np.zeros(len(cp), np.int8)
     out[src[take]] = tags[take]
@@ -118,7 +118,9 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
                 return m.span()
         return None
     if kind in ("phone", "id_number"):
-        for m in (NUMBER if kind == "phone" else CODE).finditer(text, max(0, a - 12), hi):
+        while kind == "id_number" and a > lo and text[a - 1].isascii() and text[a - 1].isalnum():
+            a -= 1
+        for m in (NUMBER if kind == "phone" else CODE).finditer(text, a if kind == "id_number" else max(0, a - 12), hi):
             if m.start() < b and m.end() > a and sum(c.isdigit() for c in m[0]) >= 5:
                 x, y = m.span()
                 if kind == "phone":
@@ -136,7 +138,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         while b < len(text) and text[b - 1].isalpha() and text[b].isalpha() and (text[b].isascii() or "À" <= text[b] <= "ɏ") and (text[b - 1].isascii() or "À" <= text[b - 1] <= "ɏ"):
             b += 1
         m = TITLE.match(text[a:b])
-        while m:
+        while m and not (m[0][:2] == "M." and not re.search(r"[\s,]", text[a + m.end() : b])):  # an initial, not Monsieur
             a += m.end()
             m = TITLE.match(text[a:b])
         m = TAIL.search(text[a:b])
