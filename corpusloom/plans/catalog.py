@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cleaning
 from ..functions import text as X
 from ..operators import enrichment, gate, ingest, ledger, lengths, packets, records, sampling, search
 from ..session import table
@@ -497,3 +498,26 @@ def incremental_ingest(spark, d):
 def event_windows(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- cleaning -------------------------------------------------------------------------------------------------
+
+
+@query()
+def clean_documents_full(spark, d):
+    r = cleaning.cleaned(table(spark, d, "records"))
+    return r.select("rid", F.col("left_result.text").alias("clean_text"), F.map_keys("left_result.actions").alias("left_actions"), F.col("left_result.warnings").alias("left_warnings"), F.length("right_result.text").alias("right_chars"))
+
+
+@query()
+def clean_action_totals(spark, d):
+    r = cleaning.cleaned(table(spark, d, "records")).select(F.explode("left_result.actions").alias("action", "k"))
+    return r.groupBy("action").agg(F.sum("k").alias("n"))
+
+
+@query("""select rid, sha256(regexp_replace(trim(regexp_replace(text, '[\\t \\f\\v\\x{a0}\\x{202f}]+', ' ', 'g')), '([A-Za-z\\x{3400}-\\x{9fff}\\])"''”’]) +([,;:!?，。；：！？、])', '\\1\\2', 'g')) as h from records
+ where text is not null and not regexp_matches(text, '[\\r\\n<>&*_~`\\[\\]$\\\\]') and not contains(text, ' .')""")
+def clean_prose_fast(spark, d):
+    t = F.col("text")
+    r = table(spark, d, "records").where(t.isNotNull() & ~t.rlike(r"[\r\n<>&*_~`\[\]$\\]") & ~t.contains(" ."))
+    return r.select("rid", X.sha(cleaning.prose_expression(t)).alias("h"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-FILE = F.col("_metadata.file_path")
+FILE = "_metadata.file_path"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no from 1, text) of text files, whole files at a time; only the line feed and one carriage return before it go."""
-    whole = spark.read.text(path, wholetext=True).select(FILE.alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col(FILE).alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
     lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("i", "text"))
     return lines.select("file", (F.col("i") + 1).alias("line_no"), F.regexp_replace("text", r"\r\z", "").alias("text"))
 
@@ -54,7 +54,7 @@ def parallel_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def glob(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
     """All JSON line files of a pattern, with the file each row came from."""
-    return spark.read.schema(schema).json(pattern).select("*", FILE.alias("file"))
+    return spark.read.schema(schema).json(pattern).select("*", F.col(FILE).alias("file"))
 
 
 def manifest_check(rows: DataFrame, manifest: DataFrame) -> DataFrame:
