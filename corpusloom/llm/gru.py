@@ -35,28 +35,34 @@ def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarra
     x, u = (p[d + "x"] + p[d + "b"]) * half, p[d + "u"] * half
     ug, uc = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
     out = np.zeros((len(data), h), np.float32)
-    state = np.zeros((len(size), h), np.float32)
+    n = len(size)
+    state = np.zeros((n, h), np.float32)
+    xg, xc = np.ascontiguousarray(x[:, : 2 * h]), np.ascontiguousarray(x[:, 2 * h :])
+    gates, inner, fed, cand = (np.empty((n, k), np.float32) for k in (2 * h, h, 2 * h, h))
+    place = start.copy() if d == "f" else start + size - 1
+    step = 1 if d == "f" else -1
     saved = []
-    for t, m in enumerate(_alive(size) if len(size) else ()):
-        at = start[:m] + t if d == "f" else start[:m] + size[:m] - 1 - t
-        g = x[data[at]]
-        s = state[:m]
-        zr = g[:, : 2 * h]
-        zr += s @ ug
+    for m in _alive(size) if n else ():
+        at = place[:m]
+        symbol = data[at]
+        s, zr, r, c = state[:m], gates[:m], inner[:m], cand[:m]
+        np.take(xg, symbol, 0, zr, "clip")
+        np.take(xc, symbol, 0, c, "clip")
+        zr += np.matmul(s, ug, out=fed[:m])
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        r = zr[:, h:] * s
-        c = g[:, 2 * h :]
-        c += r @ uc
+        np.multiply(zr[:, h:], s, out=r)
+        c += np.matmul(r, uc, out=fed.reshape(-1)[: m * h].reshape(m, h))
         np.tanh(c, out=c)
         if keep:
-            saved.append((at, s.copy(), zr.copy(), r, c.copy()))
+            saved.append((at.copy(), s.copy(), zr.copy(), r.copy(), c.copy()))
         # s + z (c - s)
-        c = c - s
+        c -= s
         c *= zr[:, :h]
         s += c
         out[at] = s
+        at += step
     return (out, saved) if keep else out
 
 
@@ -66,6 +72,19 @@ def logits(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np
     return states(p, "f", data, start, size) @ p["fo"] + states(p, "b", data, start, size) @ p["bo"] + p["ob"]
 
 
+def probabilities(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(classes, positions): one row for each class, which keeps the passes over the classes contiguous."""
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    x = p["fo"].T @ states(p, "f", data, start, size).T
+    x += p["bo"].T @ states(p, "b", data, start, size).T
+    x += p["ob"][:, None]
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(1, keepdims=True))
     x /= x.sum(1, keepdims=True)

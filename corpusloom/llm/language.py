@@ -25,6 +25,7 @@ SYNONYMS = {
 }
 MISSING = ("", "unknown", "und", "none", "null", "n/a", "?")
 LEAST_LETTERS, LEAST_HAN, WINDOW, MARGIN = 12, 5, 448, 32
+READ = 1 << 18  # bytes read at once: the states of a step then stay in a core's cache
 
 
 def code_of(label: str | None) -> str:
@@ -59,7 +60,7 @@ def cut_segments(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def label_positions(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Language probabilities at every byte; long texts are cut into overlapping windows."""
+    """(languages, bytes): probabilities at every byte; long texts are cut into overlapping windows."""
     p = net()
     pieces = np.maximum(1, -(-(size - 2 * MARGIN) // (WINDOW - 2 * MARGIN)))
     row = np.repeat(np.arange(len(size)), pieces)
@@ -68,16 +69,16 @@ def label_positions(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np
     last = i == pieces[row] - 1
     b = np.where(last, size[row], a + WINDOW)
     if (pieces == 1).all():
-        return gru.softmax(gru.logits(p, data, start, size))
+        return gru.probabilities(p, data, start, size)
     n = b - a
     at = np.concatenate([[0], np.cumsum(n)])
     src = np.arange(at[-1]) - np.repeat(at[:-1], n) + np.repeat(start[row] + a, n)
-    q = gru.softmax(gru.logits(p, data[src], at[:-1], n))
+    q = gru.probabilities(p, data[src], at[:-1], n)
     inner = np.arange(at[-1]) - np.repeat(at[:-1], n)
     lead, tail = np.repeat(np.where(a > 0, MARGIN, 0), n), np.repeat(np.where(last, n, n - MARGIN), n)
     take = (inner >= lead) & (inner < tail)
-    out = np.empty((len(data), q.shape[1]), np.float32)
-    out[src[take]] = q[take]
+    out = np.empty((q.shape[0], len(data)), np.float32)
+    out[:, src[take]] = q[:, take]
     return out
 
 
@@ -96,9 +97,10 @@ def read(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     p = t.props[C.clip(cp)]
     letter = np.repeat((p & C.LETTER) != 0, width).astype(np.float32)
     cut = byte[starts]
-    pooled = np.add.reduceat(q * letter[:, None], cut, 0)
+    q *= letter
+    pooled = np.add.reduceat(q, cut, 1)
     count = np.add.reduceat(letter, cut)
-    pooled /= np.maximum(count, 1)[:, None]
+    pooled = (pooled / np.maximum(count, 1)).T
     letters = np.add.reduceat(((p & C.LETTER) != 0).astype(np.int64), starts)
     han = np.add.reduceat(((p & C.HAN) != 0).astype(np.int64), starts)
     weight = np.where((letters >= LEAST_LETTERS) | (han >= LEAST_HAN), letters, 0)
@@ -145,7 +147,7 @@ def languages(records: DataFrame, key: str = "rid") -> DataFrame:
         labels, conf = label_rows(*prepared(b))
         return pa.RecordBatch.from_arrays([b.column(key), pa.array([[CODES[x] for x in v] for v in labels], pa.list_(pa.string())), pa.array(conf)], names=[key, "languages", "confidence"])
 
-    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, languages array<string>, confidence double", limit=1 << 20)
+    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, languages array<string>, confidence double", limit=READ)
 
 
 def segments(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -162,7 +164,7 @@ def segments(records: DataFrame, key: str = "rid") -> DataFrame:
         first = np.searchsorted(row, row[ok], "left")
         return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row[ok])), pa.array((ok - first + 1).astype(np.int32)), text, pa.array([CODES[x] for x in lang[ok]]), pa.array(sure[ok].astype(float))], names=[key, "segment_no", "segment", "lang_code", "confidence"])
 
-    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, segment_no int, segment string, lang_code string, confidence double")
+    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, segment_no int, segment string, lang_code string, confidence double", limit=READ)
 
 
 def found(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -185,4 +187,4 @@ def found(records: DataFrame, key: str = "rid") -> DataFrame:
 
     said = records.select(F.col(key).cast("long").alias(key), code_column(F.col("language")).alias("said"), F.xxhash64(stock.site_of(F.col("source_url"), F.col("collection"))).alias("site"), F.col("text").cast("string").alias("text"))
     by_site = stock.stock_of(records, key)
-    return map_text(said.join(by_site, "site", "left").select(key, "said", "text", "stock_keys"), run, f"{key} long, lang_code string")
+    return map_text(said.join(by_site, "site", "left").select(key, "said", "text", "stock_keys"), run, f"{key} long, lang_code string", limit=READ)

@@ -23,40 +23,55 @@ def init(symbols: int, hidden: int, tags: int, rng: np.random.Generator) -> dict
     return p
 
 
-def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False):
+def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False, out: np.ndarray | None = None):
     """Hidden state at every position; gates in the order input, forget, output, candidate."""
     h = p[d + "u"].shape[0]
     slope = np.concatenate([np.full(3 * h, 0.25), np.ones(h)]).astype(np.float32)
     middle = np.concatenate([np.full(3 * h, 0.5), np.zeros(h)]).astype(np.float32)
     x, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope
-    out = np.zeros((len(data), h), np.float32)
-    hid, cell = np.zeros((len(size), h), np.float32), np.zeros((len(size), h), np.float32)
+    n = len(size)
+    out = np.zeros((len(data), h), np.float32) if out is None else out
+    hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+    xg, xc = np.ascontiguousarray(x[:, : 3 * h]), np.ascontiguousarray(x[:, 3 * h :])
+    ug, uc = np.ascontiguousarray(u[:, : 3 * h]), np.ascontiguousarray(u[:, 3 * h :])
+    gates, cand, fed, bent = (np.empty((n, k), np.float32) for k in (3 * h, h, 3 * h, h))
+    place = start.copy() if d == "f" else start + size - 1
+    step = 1 if d == "f" else -1
     saved = []
-    for t, m in enumerate(_alive(size) if len(size) else ()):
-        at = start[:m] + t if d == "f" else start[:m] + size[:m] - 1 - t
-        g = x[data[at]]
-        g += hid[:m] @ u
-        s = g[:, : 3 * h]
+    for m in _alive(size) if n else ():
+        at = place[:m]
+        symbol = data[at]
+        state, c, s, g, tc = hid[:m], cell[:m], gates[:m], cand[:m], bent[:m]
+        np.take(xg, symbol, 0, s, "clip")
+        np.take(xc, symbol, 0, g, "clip")
+        s += np.matmul(state, ug, out=fed[:m])
+        g += np.matmul(state, uc, out=fed.reshape(-1)[: m * h].reshape(m, h))
         np.maximum(s, 0, out=s)
         np.minimum(s, 1, out=s)
-        np.tanh(g[:, 3 * h :], out=g[:, 3 * h :])
+        np.tanh(g, out=g)
         if keep:
-            before = hid[:m].copy(), cell[:m].copy()
-        c = cell[:m]
+            before = state.copy(), c.copy()
         c *= s[:, h : 2 * h]
-        c += s[:, :h] * g[:, 3 * h :]
-        tc = np.tanh(c)
+        c += np.multiply(s[:, :h], g, out=tc)
+        np.tanh(c, out=tc)
         if keep:
-            saved.append((at, g, tc, *before))
-        np.multiply(tc, s[:, 2 * h :], out=hid[:m])
-        out[at] = hid[:m]
+            saved.append((at.copy(), np.concatenate([s, g], 1), tc.copy(), *before))
+        np.multiply(tc, s[:, 2 * h :], out=state)
+        out[at] = state
+        at += step
     return (out, saved) if keep else out
 
 
 def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
-    return states(p, "f", data, start, size) @ p["fo"] + states(p, "b", data, start, size) @ p["bo"] + p["ob"]
+    h = p["fu"].shape[0]
+    both = np.empty((len(data), 2 * h), np.float32)
+    states(p, "f", data, start, size, out=both[:, :h])
+    states(p, "b", data, start, size, out=both[:, h:])
+    e = both @ np.concatenate([p["fo"], p["bo"]])
+    e += p["ob"]
+    return e
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -116,11 +131,12 @@ def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
     return g, loss
 
 
-def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = 12.0, reach: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = 1.0, reach: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the stretches that are worth decoding: all positions within reach of one whose tag 0
     does not lead by sure nats.  Beyond them every tag is 0, as in a beam of that width."""
     n = len(e)
-    open_at = np.flatnonzero(e[:, 1:].max(1) + sure > e[:, 0])
+    best = np.ascontiguousarray(e.T)[1:].max(0)
+    open_at = np.flatnonzero(best + sure > e[:, 0])
     if not len(open_at):
         return open_at, open_at
     order = np.argsort(start, kind="stable")

@@ -23,6 +23,7 @@ from .textio import map_text
 
 WINDOW, MARGIN = 512, 64
 HAN_BUCKETS = 512
+READ = 1 << 18  # bytes read at once: the states of a step then stay in a core's cache
 SYMBOLS = 128 + 192 + 64 + 192 + HAN_BUCKETS + 4
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
@@ -186,7 +187,7 @@ def masked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 new[r] = new[r][:a] + f"[{KINDS[k].upper()}]" + new[r][z:]
         return pa.RecordBatch.from_arrays([b.column(key), pa.array(new, pa.string())], names=[key, "text"])
 
-    return map_text(_input(docs, key), run, f"{key} long, text string")
+    return map_text(_input(docs, key), run, f"{key} long, text string", limit=READ)
 
 
 def found(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -205,7 +206,7 @@ def found(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             return None
         return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), pa.array(kinds), pa.array(texts)], names=[key, "pii_kind", "found_text"])
 
-    return map_text(_input(docs, key), run, f"{key} long, pii_kind string, found_text string")
+    return map_text(_input(docs, key), run, f"{key} long, pii_kind string, found_text string", limit=READ)
 
 
 def _input(docs: DataFrame, key: str) -> DataFrame:

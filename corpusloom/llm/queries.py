@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.found(table(spark, d, "records"))
 
 
+def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "records").select("rid", "text", "title")
+    return unify.unify_text(unify.unify_text(r, "text"), "title").select("rid", "text", "title")
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return quotas.sample(table(spark, d, "records"), table(spark, d, "sampling_plans"), table(spark, d, "sampling_targets"))
 
@@ -26,10 +31,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "records"))
 
 
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.found(table(spark, d, "records"))
 
 
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return stock.blocks(table(spark, d, "records"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return stock.without_stock(table(spark, d, "records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.found(table(spark, d, "enrichment_pairs"), table(spark, d, "enrichment_queue"))
 
@@ -38,10 +55,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "records"))
 
 
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.cleaned(table(spark, d, "records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "records"))
 
 
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "records"))
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "records"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "packing_specs"))
 
@@ -62,6 +91,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "documents"))
 
 
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
 

@@ -174,3 +174,8 @@ def without_stock(records: DataFrame, key: str = "rid") -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(key), C.implode(cp, off, C.valid_of(arr))], names=[key, "text"])
 
     return map_text(with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, text string")
+
+
+def blocks(records: DataFrame, key: str = "rid") -> DataFrame:
+    """(site, block, line_key, support) of all stock lines; site is the hash of the site's name."""
+    return graph(site_lines(records, key).persist(StorageLevel.MEMORY_AND_DISK))
