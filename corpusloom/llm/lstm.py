@@ -131,9 +131,10 @@ def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
     return g, loss
 
 
-def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = 1.0, reach: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the stretches that are worth decoding: all positions within reach of one whose tag 0
-    does not lead by sure nats.  Beyond them every tag is 0, as in a beam of that width."""
+def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = -1.0, reach: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the stretches that are worth decoding: all positions within reach of one where another
+    tag leads tag 0 by -sure nats.  Elsewhere every tag is 0, as in a beam of that width; in each span of the
+    training texts some position leads by more than three."""
     n = len(e)
     best = np.ascontiguousarray(e.T)[1:].max(0)
     open_at = np.flatnonzero(best + sure > e[:, 0])
