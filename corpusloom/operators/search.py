@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,14 +31,34 @@ class Query:
     extra: list[Column] = field(default_factory=list)
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters that are a plain letter with marks, and those plain letters: by rule, from the Unicode database."""
+    a, b = [], []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0].isascii() and c == c.lower():
+            a.append(c)
+            b.append(d[0])
+    return "".join(a), "".join(b)
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents and loose marks."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\x{300}-\x{36f}]", "")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Folded runs of letters and digits."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 def terms_of(q: str) -> list[list[str]]:
-    """The query's terms; one that the index would split is a phrase of several tokens."""
-    return [t for t in ([x for x in re.split(r"[\W_]+", w.lower()) if x] for w in re.findall(r"\w+", q.strip()[:300])) if t]
+    """The query's folded terms; one that the index would split is a phrase of several tokens."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", q.strip()[:300].lower()) if not "\u0300" <= c <= "\u036f")
+    return [t for t in ([x for x in re.split(r"[\W_]+", w) if x] for w in re.findall(r"\w+", unicodedata.normalize("NFC", bare))) if t]
 
 
 def has_terms(text: Column, q: str) -> Column:

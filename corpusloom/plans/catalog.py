@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cleaning
 from ..functions import text as X
-from ..operators import enrichment, gate, ingest, ledger, lengths, packets, records, sampling, search
+from ..operators import audit, enrichment, gate, ingest, ledger, lengths, packets, records, sampling, search
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,8 @@ class Part(str):
 STRIP = Part(f"regexp_replace(@@, '^{B}+|{B}+$', '', 'g')")
 COLLAPSE = Part(f"regexp_replace(regexp_replace(@@, '{B}+', ' ', 'g'), '^ | $', '', 'g')")
 SEARCH = "lower(array_to_string(list_concat([coalesce(title,''), coalesce(text,''), coalesce(right_text,'')], coalesce(alternatives, [])), chr(10)))"
-LINE = Part("' ' || array_to_string(list_filter(string_split_regex(@@, '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '")
+FOLD = Part(f"regexp_replace(translate(@@, '{search.ACCENTED}', '{search.PLAIN}'), '[\\x{{300}}-\\x{{36f}}]', '', 'g')")
+LINE = Part("' ' || array_to_string(list_filter(string_split_regex(" + FOLD + ", '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '")
 DIGEST = "sha256(coalesce(text, chr(1)) || chr(31) || coalesce(right_text, chr(1)))"
 
 
@@ -289,7 +290,7 @@ def page_with_total(spark, d):
     return rows.select("rid", F.lit(total).cast("long").alias("total"))
 
 
-@query(f"select token, count(*) as rows from (select distinct rid, unnest(list_filter(string_split_regex({SEARCH}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as token from records) group by 1")
+@query(f"select token, count(*) as rows from (select distinct rid, unnest(list_filter(string_split_regex({FOLD.of(SEARCH)}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as token from records) group by 1")
 def inverted_index(spark, d):
     return search.inverted(table(spark, d, "records")).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -299,6 +300,12 @@ def index_lookup(spark, d):
     return search.lookup(search.inverted(table(spark, d, "records")), ["rail", "depot"])
 
 
+@query(f"select rid from records where {_contains('telegrafo')} or {_contains('bibliotheque')}")
+def search_folded(spark, d):
+    t = records.search_text()
+    return table(spark, d, "records").where(search.has_terms(t, "Telégrafo") | search.has_terms(t, "BIBLIOTHÈQUE")).select("rid")
+
+
 def _reviewed(spark, d, which: str) -> DataFrame:
     r = table(spark, d, "records").withColumn("content_hash", _digest())
     return search.filtered(r, search.Query(review_filter=which), _reviews(spark, d)).select("rid")
@@ -460,6 +467,60 @@ def claim_packets(spark, d):
     return packets.checked(docs, "pair_id", "raw", SEED).select("pair_id", "problems", F.length("packet").alias("packet_chars"))
 
 
+def _flags(spark, d) -> DataFrame:
+    """Review flags bound to an output by pair, model and the digest of its text."""
+    p = table(spark, d, "enrichment_pairs").where("text is not null and unresolved_claim_ids is not null").select("pair_id", "model", X.sha(F.col("text")).alias("text_sha"), F.when(F.size("unresolved_claim_ids") > 0, "unresolved").otherwise("resolved").alias("status"))
+    return p.groupBy("pair_id", "model", "text_sha").agg(F.min("status").alias("status"))
+
+
+FLAGS = "(select pair_id, model, sha256(text) text_sha, min(case when len(unresolved_claim_ids)>0 then 'unresolved' else 'resolved' end) status from enrichment_pairs where text is not null and unresolved_claim_ids is not null group by all)"
+
+
+@query(f"select o.pair_id, o.model, o.text_sha, f.status from (select distinct pair_id, model, sha256(text) text_sha from enrichment_pairs where text is not null) o left join {FLAGS} f using (pair_id, model, text_sha)")
+def qa_flag_attach(spark, d):
+    o = table(spark, d, "enrichment_pairs").where("text is not null").select("pair_id", "model", X.sha(F.col("text")).alias("text_sha")).distinct()
+    return audit.attach_flags(o, _flags(spark, d), ["pair_id", "model", "text_sha"])
+
+
+@query(f"select pair_id, model, text_sha, status from {FLAGS} f where not exists (select 1 from enrichment_pairs p where p.pair_id=f.pair_id and p.model=f.model and sha256(upper(p.text))=f.text_sha)")
+def unused_flags(spark, d):
+    o = table(spark, d, "enrichment_pairs").select("pair_id", "model", X.sha(F.upper("text")).alias("text_sha"))
+    return audit.unused_flags(o, _flags(spark, d), ["pair_id", "model", "text_sha"])
+
+
+@query("select coalesce(a.id, b.id) as id, case when b.id is null then 'first' else 'second' end as only_in from (select distinct source_id id from enrichment_queue) a full join (select distinct source_id id from enrichment_pairs) b on a.id = b.id where a.id is null or b.id is null")
+def view_key_parity(spark, d):
+    q, p = table(spark, d, "enrichment_queue"), table(spark, d, "enrichment_pairs")
+    return audit.key_parity(q.select(F.col("source_id").alias("id")), p.select(F.col("source_id").alias("id")), "id")
+
+
+@query("""(select queue_id, target_language, 'first' as more_in from (select queue_id, target_language from enrichment_queue except all select distinct queue_id, target_language from enrichment_queue))""")
+def repeat_differences(spark, d):
+    q = table(spark, d, "enrichment_queue").select("queue_id", "target_language")
+    return audit.differences(q, q.distinct())
+
+
+@query("""select coalesce(a.queue_id, b.queue_id) as queue_id, coalesce(a.place, b.place) as place, a.x as first, b.x as second, case when a.x is null or b.x is null then 'unequal_length' end as error from
+ (select queue_id, row_number() over (partition by queue_id order by pair_id) place, pair_id x from (select distinct queue_id, pair_id from enrichment_pairs where model like 'plume%' or model like '%/plume%')) a full join
+ (select queue_id, row_number() over (partition by queue_id order by pair_id) place, pair_id x from (select distinct queue_id, pair_id from enrichment_pairs where not (model like 'plume%' or model like '%/plume%'))) b on a.queue_id=b.queue_id and a.place=b.place""")
+def positional_zip(spark, d):
+    p = table(spark, d, "enrichment_pairs").select("queue_id", "pair_id", "model").dropDuplicates()
+    plume = F.col("model").like("plume%") | F.col("model").like("%/plume%")
+    return audit.zipped(p.where(plume).drop("model"), p.where(~plume).drop("model"), "queue_id", "pair_id")
+
+
+@query(f"""select rid from records where lower(trim(domain)) in ('news', 'wiki') and length(text) between 200 and 1200 and (right_text is null or {COLLAPSE.of('text')} <> {COLLAPSE.of('right_text')})""")
+def eligible_candidates(spark, d):
+    return audit.eligible(table(spark, d, "records"), F.array().cast("array<string>"), ("news", "wiki"), 200, 1200).select("rid")
+
+
+@query("select l.entry_id, p.pair_id, l.model = p.model as same_model, l.entry_state = 'settled' and l.actual_usd <= l.reserved_usd as within_bound from ledger_entries l join (select distinct pair_id, model from enrichment_pairs) p using (pair_id)")
+def ledger_call_match(spark, d):
+    p = table(spark, d, "enrichment_pairs").select("pair_id", F.col("model").alias("pair_model")).dropDuplicates()
+    x = table(spark, d, "ledger_entries").join(p, "pair_id")
+    return x.select("entry_id", "pair_id", (F.col("model") == F.col("pair_model")).alias("same_model"), ((F.col("entry_state") == "settled") & (F.col("actual_usd") <= F.col("reserved_usd"))).alias("within_bound"))
+
+
 # --- ledger -----------------------------------------------------------------------------------------------
 
 
@@ -521,3 +582,14 @@ def clean_prose_fast(spark, d):
     t = F.col("text")
     r = table(spark, d, "records").where(t.isNotNull() & ~t.rlike(r"[\r\n<>&*_~`\[\]$\\]") & ~t.contains(" ."))
     return r.select("rid", X.sha(cleaning.prose_expression(t)).alias("h"))
+
+
+@query()
+def clean_idempotence(spark, d):
+    return audit.not_idempotent(table(spark, d, "records"))
+
+
+@query()
+def clean_audit(spark, d):
+    a = audit.audit_rows(table(spark, d, "records"), audit.rules_fingerprint())
+    return a.select("rid", "side", "raw_sha", "clean_sha", "raw_chars", "clean_chars", F.size("result.removed").alias("removed"), F.size("result.warnings").alias("warnings"), "rules")
