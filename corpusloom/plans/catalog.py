@@ -566,13 +566,13 @@ def event_windows(spark, d):
 
 @query()
 def clean_documents_full(spark, d):
-    r = cleaning.cleaned(table(spark, d, "records"))
+    r = cleaning.cleaned(table(spark, d, "records", spread=True))
     return r.select("rid", F.col("left_result.text").alias("clean_text"), F.map_keys("left_result.actions").alias("left_actions"), F.col("left_result.warnings").alias("left_warnings"), F.length("right_result.text").alias("right_chars"))
 
 
 @query()
 def clean_action_totals(spark, d):
-    r = cleaning.cleaned(table(spark, d, "records")).select(F.explode("left_result.actions").alias("action", "k"))
+    r = cleaning.cleaned(table(spark, d, "records", spread=True)).select(F.explode("left_result.actions").alias("action", "k"))
     return r.groupBy("action").agg(F.sum("k").alias("n"))
 
 
@@ -586,10 +586,10 @@ def clean_prose_fast(spark, d):
 
 @query()
 def clean_idempotence(spark, d):
-    return audit.not_idempotent(table(spark, d, "records"))
+    return audit.not_idempotent(table(spark, d, "records", spread=True))
 
 
 @query()
 def clean_audit(spark, d):
-    a = audit.audit_rows(table(spark, d, "records"), audit.rules_fingerprint())
+    a = audit.audit_rows(table(spark, d, "records", spread=True), audit.rules_fingerprint())
     return a.select("rid", "side", "raw_sha", "clean_sha", "raw_chars", "clean_chars", F.size("result.removed").alias("removed"), F.size("result.warnings").alias("warnings"), "rules")

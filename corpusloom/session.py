@@ -48,9 +48,15 @@ def ship(spark: SparkSession) -> None:
     sc._corpusloom_shipped = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder; spread for Python-heavy queries, whose few small files would leave cores idle."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:  # a bare scan: only its files are listed
+            df = df.repartition(cores)
+    return df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
