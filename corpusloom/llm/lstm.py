@@ -1,7 +1,8 @@
 """A bidirectional LSTM over characters with a linear-chain CRF on top, trained and run in numpy.
 
 Sequences are sorted by falling length as in ``gru``.  The gates are piecewise linear (a quarter of the
-argument plus a half, kept within 0 and 1), which costs a fraction of the logistic function.  The CRF is trained by forward-backward and decoded by Viterbi, over whole batches.
+argument plus a half, kept within 0 and 1), which costs a fraction of the logistic function.  A step reads two
+characters, each by a table of its own, and gives the tag scores of both.  The CRF is trained by forward-backward and decoded by Viterbi, over whole batches.
 """
 
 from __future__ import annotations
@@ -14,25 +15,28 @@ from .gru import _alive
 def init(symbols: int, hidden: int, tags: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     p = {}
     for d in "fb":
-        p[d + "x"] = (rng.standard_normal((symbols, 4 * hidden)) * 0.3).astype(np.float32)
+        for slot in "xy":
+            p[d + slot] = (rng.standard_normal((symbols, 4 * hidden)) * 0.3).astype(np.float32)
         p[d + "u"] = (rng.standard_normal((hidden, 4 * hidden)) / np.sqrt(hidden)).astype(np.float32)
         p[d + "b"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
-        p[d + "o"] = (rng.standard_normal((hidden, tags)) / np.sqrt(hidden)).astype(np.float32)
-    p["ob"] = np.zeros(tags, np.float32)
+        p[d + "o"] = (rng.standard_normal((hidden, 2 * tags)) / np.sqrt(hidden)).astype(np.float32)
+    p["ob"] = np.zeros(2 * tags, np.float32)
     p["tr"] = np.zeros((tags, tags), np.float32)
     return p
 
 
 def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False, out: np.ndarray | None = None):
-    """Hidden state at every position; gates in the order input, forget, output, candidate."""
+    """Hidden state at every step of data (steps, 2); gates in the order input, forget, output, candidate."""
     h = p[d + "u"].shape[0]
     slope = np.concatenate([np.full(3 * h, 0.25), np.ones(h)]).astype(np.float32)
     middle = np.concatenate([np.full(3 * h, 0.5), np.zeros(h)]).astype(np.float32)
-    x, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope
+    x, y, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "y"] * slope, p[d + "u"] * slope
     n = len(size)
     out = np.zeros((len(data), h), np.float32) if out is None else out
     hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
     xg, xc = np.ascontiguousarray(x[:, : 3 * h]), np.ascontiguousarray(x[:, 3 * h :])
+    yg, yc = np.ascontiguousarray(y[:, : 3 * h]), np.ascontiguousarray(y[:, 3 * h :])
+    one, two = np.ascontiguousarray(data[:, 0]), np.ascontiguousarray(data[:, 1])
     ug, uc = np.ascontiguousarray(u[:, : 3 * h]), np.ascontiguousarray(u[:, 3 * h :])
     gates, cand, fed, bent = (np.empty((n, k), np.float32) for k in (3 * h, h, 3 * h, h))
     place = start.copy() if d == "f" else start + size - 1
@@ -40,12 +44,15 @@ def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarra
     saved = []
     for m in _alive(size) if n else ():
         at = place[:m]
-        symbol = data[at]
+        a, b = one[at], two[at]
         state, c, s, g, tc = hid[:m], cell[:m], gates[:m], cand[:m], bent[:m]
-        np.take(xg, symbol, 0, s, "clip")
-        np.take(xc, symbol, 0, g, "clip")
+        small = fed.reshape(-1)[: m * h].reshape(m, h)
+        np.take(xg, a, 0, s, "clip")
+        np.take(xc, a, 0, g, "clip")
+        s += np.take(yg, b, 0, fed[:m], "clip")
+        g += np.take(yc, b, 0, small, "clip")
         s += np.matmul(state, ug, out=fed[:m])
-        g += np.matmul(state, uc, out=fed.reshape(-1)[: m * h].reshape(m, h))
+        g += np.matmul(state, uc, out=small)
         np.maximum(s, 0, out=s)
         np.minimum(s, 1, out=s)
         np.tanh(g, out=g)
@@ -63,15 +70,16 @@ def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarra
 
 
 def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tag scores (positions, tags) of symbols at even starts, each sequence padded to an even size."""
     order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+    start, size, data = start[order] // 2, size[order] // 2, data.reshape(-1, 2)
     h = p["fu"].shape[0]
     both = np.empty((len(data), 2 * h), np.float32)
     states(p, "f", data, start, size, out=both[:, :h])
     states(p, "b", data, start, size, out=both[:, h:])
     e = both @ np.concatenate([p["fo"], p["bo"]])
     e += p["ob"]
-    return e
+    return e.reshape(len(data) * 2, -1)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -101,13 +109,14 @@ def crf_gradients(e: np.ndarray, tr: np.ndarray, tag: np.ndarray) -> tuple[float
 
 
 def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
-    """data and tag: (sequences, length)."""
+    """data and tag: (sequences, length), the length even."""
     n, length = data.shape
-    flat, start, size = data.ravel(), np.arange(n) * length, np.full(n, length)
+    steps = length // 2
+    flat, start, size = data.reshape(-1, 2), np.arange(n) * steps, np.full(n, steps)
     runs = {d: states(p, d, flat, start, size, True) for d in "fb"}
     e = (runs["f"][0] @ p["fo"] + runs["b"][0] @ p["bo"] + p["ob"]).reshape(n, length, -1)
     loss, ge, gtr = crf_gradients(e.astype(np.float64), p["tr"].astype(np.float64), tag)
-    ge = ge.reshape(n * length, -1).astype(np.float32)
+    ge = ge.reshape(n * steps, -1).astype(np.float32)
     g = {"ob": ge.sum(0), "tr": gtr.astype(np.float32)}
     for d in "fb":
         out, saved = runs[d]
@@ -115,7 +124,7 @@ def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
         g[d + "o"] = out.T @ ge
         up = ge @ p[d + "o"].T
         u = p[d + "u"]
-        gx, gu = np.zeros_like(p[d + "x"]), np.zeros_like(u)
+        gx, gy, gu = np.zeros_like(p[d + "x"]), np.zeros_like(p[d + "y"]), np.zeros_like(u)
         dhid, dcell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         for at, gate, tc, hid, cell in reversed(saved):
             i, f, o, c = (gate[:, j * h : (j + 1) * h] for j in range(4))
@@ -124,17 +133,18 @@ def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
             on = ((gate[:, : 3 * h] > 0) & (gate[:, : 3 * h] < 1)) * np.float32(0.25)
             dg = np.concatenate([np.concatenate([dc * c, dc * cell, dh * tc], 1) * on, dc * i * (1 - c * c)], 1)
             gu += hid.T @ dg
-            np.add.at(gx, flat[at], dg)
+            np.add.at(gx, flat[at, 0], dg)
+            np.add.at(gy, flat[at, 1], dg)
             dhid = dg @ u.T
             dcell = dc * f
-        g[d + "x"], g[d + "u"], g[d + "b"] = gx, gu, gx.sum(0)
+        g[d + "x"], g[d + "y"], g[d + "u"], g[d + "b"] = gx, gy, gu, gx.sum(0)
     return g, loss
 
 
-def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = -1.0, reach: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = -1.0, reach: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the stretches that are worth decoding: all positions within reach of one where another
     tag leads tag 0 by -sure nats.  Elsewhere every tag is 0, as in a beam of that width; in each span of the
-    training texts some position leads by more than three."""
+    training texts some position leads by two or more."""
     n = len(e)
     best = np.ascontiguousarray(e.T)[1:].max(0)
     open_at = np.flatnonzero(best + sure > e[:, 0])

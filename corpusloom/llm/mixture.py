@@ -65,8 +65,8 @@ def demands(targets: DataFrame, sources: DataFrame) -> DataFrame:
 
 def position(done: Column, demand: Column, lean: Column) -> Column:
     """The time in [0, 1] at which the integral of the schedule demand * (1 + lean * (2 t - 1)) reaches done."""
-    x = F.least(done / demand, F.lit(1.0))
-    root = (F.sqrt((1 - lean) * (1 - lean) + 4 * lean * x) - (1 - lean)) / (2 * lean)
+    x = F.least(F.try_divide(done, demand), F.lit(1.0))
+    root = F.try_divide(F.sqrt((1 - lean) * (1 - lean) + 4 * lean * x) - (1 - lean), 2 * lean)
     return F.abs(F.when(F.abs(lean) < 1e-9, x).otherwise(root))
 
 
@@ -92,7 +92,7 @@ def _sources(docs: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame, targets: DataFrame, key: str, seed: int) -> DataFrame:
     need = demands(targets, _sources(docs)).where("demand_tokens > 0 and source_tokens > 0")
     x = with_prefix(docs, key, seed).join(need, "source")
-    passes = F.sequence(F.lit(0), F.least(F.col("max_repeats") - 1, F.floor((F.col("demand_tokens") - F.col("before") - 1e-6) / F.col("source_tokens")).cast("int")))
+    passes = F.sequence(F.lit(0), F.least(F.col("max_repeats") - 1, F.floor(F.try_divide(F.col("demand_tokens") - F.col("before") - 1e-6, F.col("source_tokens"))).cast("int")))
     x = x.where(F.col("before") < F.col("demand_tokens")).withColumn("repeat", F.explode(passes))
     done = F.col("repeat") * F.col("source_tokens") + F.col("before")
     return x.select("mix_id", key, "source", (F.col("repeat") + 1).cast("int").alias("repeat_no"), "tokens", position(done.cast("double"), F.col("demand_tokens"), F.col("lean")).alias("position"))
@@ -112,5 +112,5 @@ def report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int =
     sized = _sized(docs, key, path)
     got = _placed(sized, targets, key, seed).groupBy("mix_id", "source").agg(F.sum("tokens").alias("reached_tokens"))
     x = demands(targets, _sources(sized)).join(got, ["mix_id", "source"], "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
-    share = F.col("reached_tokens") / F.sum("reached_tokens").over(Window.partitionBy("mix_id"))
+    share = F.coalesce(F.try_divide(F.col("reached_tokens"), F.sum("reached_tokens").over(Window.partitionBy("mix_id"))), F.lit(0.0))
     return x.select("mix_id", "source", "target_weight", "max_repeats", "source_tokens", "wanted_tokens", "reached_tokens", share.alias("reached_share"), F.greatest(F.col("wanted_tokens") - F.col("reached_tokens"), F.lit(0.0)).alias("shortfall_tokens"))

@@ -94,4 +94,4 @@ def report(docs: DataFrame, specs: DataFrame, key: str = "doc_id", **options) ->
     x = pack(docs, specs, key, **options).groupBy("spec_id", "container").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"))
     x = x.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"))
     x = x.join(F.broadcast(specs.dropDuplicates(["spec_id"]).select("spec_id", "capacity_tokens")), "spec_id")
-    return x.select("spec_id", "containers", "pieces", "tokens", "capacity_tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+    return x.select("spec_id", "containers", "pieces", "tokens", "capacity_tokens", F.try_divide(F.col("tokens"), F.col("containers") * F.col("capacity_tokens")).alias("fill"))

@@ -11,11 +11,11 @@ from . import language, mixture, overlap, packing, pairs, pii, quotas, residue,
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return unify.found(table(spark, d, "records"))
+    return unify.found(table(spark, d, "records", spread=True))
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "records").select("rid", "text", "title")
+    r = table(spark, d, "records", spread=True).select("rid", "text", "title")
     return unify.unify_text(unify.unify_text(r, "text"), "title").select("rid", "text", "title")
 
 
@@ -28,71 +28,71 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.found(table(spark, d, "records"))
+    return overlap.found(table(spark, d, "records", spread=True))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(table(spark, d, "records"))
+    return overlap.report(table(spark, d, "records", spread=True))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return stock.found(table(spark, d, "records"))
+    return stock.found(table(spark, d, "records", spread=True))
 
 
 def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return stock.blocks(table(spark, d, "records"))
+    return stock.blocks(table(spark, d, "records", spread=True))
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return stock.without_stock(table(spark, d, "records"))
+    return stock.without_stock(table(spark, d, "records", spread=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.found(table(spark, d, "enrichment_pairs"), table(spark, d, "enrichment_queue"))
+    return pairs.found(table(spark, d, "enrichment_pairs", spread=True), table(spark, d, "enrichment_queue"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.found(table(spark, d, "records"))
+    return residue.found(table(spark, d, "records", spread=True))
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
-    return residue.cleaned(table(spark, d, "records"))
+    return residue.cleaned(table(spark, d, "records", spread=True))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.found(table(spark, d, "records"))
+    return language.found(table(spark, d, "records", spread=True))
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
-    return language.languages(table(spark, d, "records"))
+    return language.languages(table(spark, d, "records", spread=True))
 
 
 def p7_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.segments(table(spark, d, "records"))
+    return language.segments(table(spark, d, "records", spread=True))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "packing_specs"))
+    return packing.pack(table(spark, d, "documents", spread=True), table(spark, d, "packing_specs"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.report(table(spark, d, "documents"), table(spark, d, "packing_specs"))
+    return packing.report(table(spark, d, "documents", spread=True), table(spark, d, "packing_specs"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mix(table(spark, d, "documents", spread=True), table(spark, d, "mix_targets"))
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.report(table(spark, d, "documents", spread=True), table(spark, d, "mix_targets"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "documents"))
+    return pii.found(table(spark, d, "documents", spread=True))
 
 
 def p10_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.masked(table(spark, d, "documents"))
+    return pii.masked(table(spark, d, "documents", spread=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,7 +19,7 @@ from . import gru, lstm
 from .pii import SYMBOLS, TAGS, settle, symbol_table, tagged_spans
 from .pii_labels import KINDS, spans
 
-SAMPLE, HIDDEN, STEPS, BATCH, WIDTH = 10_000, 12, 5000, 80, 144
+SAMPLE, HIDDEN, STEPS, BATCH, WIDTH = 10_000, 16, 6000, 80, 144
 SYLLABLES = "ba be bo da de dor el fa gar hal i jo ka kel la len lo ma mar mel na nor o pa pel quen ra rin ro sa sel so ta tor u va vel wen wick yn za".split()
 
 

@@ -378,7 +378,7 @@ def test_mix_reaches_its_weights(spark):
 def test_crf_gradients_by_differences():
     rng = np.random.default_rng(1)
     p = {k: (rng.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in lstm.init(9, 5, 4, rng).items()}
-    data, tags = rng.integers(0, 9, (3, 7)), rng.integers(0, 4, (3, 7))
+    data, tags = rng.integers(0, 9, (3, 8)), rng.integers(0, 4, (3, 8))
     g = lstm.gradients(p, data, tags)[0]
     for k in ("fu", "bu", "tr", "fo"):
         i = tuple(int(rng.integers(0, s)) for s in p[k].shape)
@@ -439,6 +439,46 @@ def test_held_out_accuracy(sf):
     assert len(want & have) >= 0.95 * max(len(want), len(have))
 
 
+EXTRA = ["site", "stock_keys", "train", "is_train", "said", "tokens", "bin", "draw", "category", "plan_id", "quota", "cls", "n", "line_no", "key_a", "source_tokens", "shard", "piece", "spec_id", "position", "_n"]
+DOCS = "doc_id long, text string, lang string, source string"
+PLANS = "plan_id string, field_name string, sample_share double, min_per_category int"
+TARGETS = "plan_id string, category string, target_share double"
+MIX = "mix_id string, source string, target_weight double, max_repeats int, total_share double"
+SPECS = "spec_id string, capacity_tokens int, separator_tokens int, lang_filter string"
+
+
+def every_operator(spark, records, docs):
+    plans = spark.createDataFrame([("p", "split", 0.5, 1), ("q", "nothing", 0.5, 1)], PLANS)
+    targets = spark.createDataFrame([("p", "train", 0.5), ("p", "dev", 0.5), ("q", "a", 1.0)], TARGETS)
+    out = {
+        "p1": unify.found(records), "p2": quotas.sample(records, plans, targets), "p2r": quotas.report(records, plans, targets), "p3": overlap.found(records), "p3r": overlap.report(records), "p4": stock.found(records), "p4c": stock.without_stock(records),
+        "p6": residue.found(records), "p6c": residue.cleaned(records), "p7": language.found(records), "p7s": language.segments(records), "p10": pii.found(docs), "p10m": pii.masked(docs),
+    }
+    if Path("/opt/tokenizers").exists():
+        specs = spark.createDataFrame([("a", 32, 1, None), ("b", 0, None, "en")], SPECS)
+        mix = spark.createDataFrame([("m", "s", 0.5, 2, 0.5), ("m", None, 0.5, None, 0.5)], MIX)
+        out |= {"p8": packing.pack(docs, specs), "p8r": packing.report(docs, specs), "p9": mixture.mix(docs, mix), "p9r": mixture.report(docs, mix)}
+    return {k: df.collect() for k, df in out.items()}
+
+
+def test_empty_tables(spark):
+    got = every_operator(spark, spark.createDataFrame([], SCHEMA), spark.createDataFrame([], DOCS))
+    assert all(not v for k, v in got.items() if k not in ("p2r", "p9r", "p8r"))
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark):
+    long = "The river board read the annual report again. " * 3000
+    rows = [(1, "c", "train", "en", "http://a.example/x", "T", long), (2, "c", "dev", None, None, None, long), (2, "c", "dev", None, None, None, long), (None, None, None, None, None, None, None), (4, "c", "train", "en", "", "", ""), (5, "c", " TRAIN ", "xx", "http://", None, "\x00\ud7ff👩\u200d💻 ")]
+    records = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame([(1, long, "en", "s"), (1, long, "en", "s"), (2, None, None, None), (None, "short text", "en", "s"), (3, "", "en", "s")], DOCS)
+    plain = every_operator(spark, records, docs)
+    for name in EXTRA:
+        records, docs = records.withColumn(name, F.lit("x")), docs.withColumn(name, F.lit("x"))
+    clashing = every_operator(spark, records, docs)
+    assert {k: sorted(map(str, v)) for k, v in plain.items()} == {k: sorted(map(str, v)) for k, v in clashing.items()}
+    assert {tuple(r) for r in plain["p3"]} == {(1, 2)} and {r.rid for r in plain["p7"]} == {2}
+
+
 def test_all_queries_run(spark, sf):
     for name, q in queries.queries().items():
         df = q(spark, sf)
