@@ -108,6 +108,7 @@ EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-
 NUMBER = re.compile(r"[+(（]?\d(?:[\d ().（）/+\-‐-–ー−]*\d)?")
 CODE = re.compile(r"(?:[A-Z]{1,3}[ -]?)?\d(?:[ .-]?[\dA-Z](?![a-z]))*")
 TITLE = re.compile(r"^(?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Mme|Mlle|M|Hr|Fr)\.?|Frau|Herrn?|Madame|Monsieur|Señora?|Doña|Don)\s+(?=\S)")
+GIVEN = re.compile(r"(?:^|(?<=[\s(]))((?:[A-ZÀ-Þ]\. ?){1,2} ?|[A-ZÀ-Þ'’-]{2,} )$")
 TAIL = re.compile(r"(?:['’]s|さん|氏|様|女士|先生|くん)$")
 NAME_CHARS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ一-鿿ぁ-ヿ々ヶ]")
 
@@ -140,6 +141,9 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             a -= 1
         while b < len(text) and text[b - 1].isalpha() and text[b].isalpha() and (text[b].isascii() or "À" <= text[b] <= "ɏ") and (text[b - 1].isascii() or "À" <= text[b - 1] <= "ɏ"):
             b += 1
+        m = GIVEN.search(text[max(0, a - 24) : a])
+        if m and not re.search(r"\d ?$", text[max(0, a - 30) : a - len(m[1])]) and (m[1][1] == "." or text[a:b].isupper()):  # initials, or a name in capitals, cut at its family name
+            a -= len(m[1])
         m = TITLE.match(text[a:b])
         while m and not (m[0][:2] == "M." and not re.search(r"[\s,]", text[a + m.end() : b])):  # an initial, not Monsieur
             a += m.end()
