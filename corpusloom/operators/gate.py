@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# The warning that holds nothing back; the names of reasons and states below are fixed too.
 EXEMPT = ("image_removed_review_surrounding_references",)
 
 
