@@ -79,3 +79,35 @@ def attach_first(rows: DataFrame, marks: DataFrame, on: list[str], order: list[s
     all_marks = marks.groupBy(*on).agg(F.array_sort(F.collect_list(collected)).alias("marks"))
     first = F.row_number().over(Window.partitionBy(*on).orderBy(*order)) == 1
     return rows.withColumn("is_first", first).join(all_marks, on, "left").withColumn("marks", F.when(F.col("is_first"), F.col("marks"))).drop("is_first")
+
+
+def shuffled(rows: DataFrame, key: str, items: str, seed: str) -> DataFrame:
+    """(key, items): repeats of an item dropped (first place kept), then in an order seeded by the key."""
+    import hashlib
+    import random
+
+    @F.pandas_udf("array<string>")
+    def order(k: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for name, values in zip(k, v):
+            x = list(dict.fromkeys(values)) if values is not None else None
+            if x:
+                random.Random(hashlib.sha256(f"{seed}|{name}".encode()).hexdigest()).shuffle(x)
+            out.append(x)
+        return pd.Series(out)
+
+    return rows.select(key, order(F.col(key), F.col(items)).alias(items))
+
+
+def writing_problems(pairs: DataFrame) -> DataFrame:
+    """(pair_id, problems): rules of an answer's coverage that it breaks; an unresolved claim must be one of its claims,
+    none may be listed twice, and no claim id may stand in the text."""
+    none = F.array().cast("array<string>")
+    ids, left = F.coalesce("claim_ids", none), F.coalesce("unresolved_claim_ids", none)
+    rules = {
+        "empty_writing": F.coalesce(X.strip(F.col("text")), F.lit("")) == "",
+        "repeated_claim_id": F.size(F.array_distinct(ids)) < F.size(ids),
+        "unknown_unresolved": F.size(F.array_except(left, ids)) > 0,
+        "claim_id_in_text": F.exists(ids, lambda c: F.coalesce(F.instr(F.col("text"), c) > 0, F.lit(False))),
+    }
+    return pairs.select("pair_id", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])).alias("problems"))

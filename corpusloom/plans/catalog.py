@@ -461,6 +461,19 @@ def claim_set_checks(spark, d):
     return p.select("pair_id", F.size(F.array_distinct("claim_ids")).cast("long").alias("claims"), (F.size("claim_ids") - F.size(F.array_distinct("claim_ids"))).cast("long").alias("repeats"), F.array_sort(F.array_except(F.coalesce("unresolved_claim_ids", none), F.col("claim_ids"))).alias("unknown")).distinct()
 
 
+@query(f"""select distinct pair_id, list_filter([case when coalesce({STRIP.of('text')}, '') = '' then 'empty_writing' end, case when len(list_distinct(coalesce(claim_ids, []))) < len(coalesce(claim_ids, [])) then 'repeated_claim_id' end,
+ case when len(list_filter(coalesce(unresolved_claim_ids, []), lambda x: not list_contains(coalesce(claim_ids, []), x))) > 0 then 'unknown_unresolved' end,
+ case when len(list_filter(coalesce(claim_ids, []), lambda x: instr(coalesce(text, ''), x) > 0)) > 0 then 'claim_id_in_text' end], lambda x: x is not null) as problems from enrichment_pairs""")
+def writing_validation(spark, d):
+    return enrichment.writing_problems(table(spark, d, "enrichment_pairs")).distinct()
+
+
+@query()
+def seeded_shuffle(spark, d):
+    p = table(spark, d, "enrichment_pairs").select("pair_id", "claim_ids").dropDuplicates()
+    return enrichment.shuffled(p, "pair_id", "claim_ids", SEED)
+
+
 @query()
 def claim_packets(spark, d):
     docs = packets.claim_documents(table(spark, d, "enrichment_pairs"))
