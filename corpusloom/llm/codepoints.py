@@ -126,7 +126,7 @@ class Tables:
                 p[c] |= MAPS
             if c == 0x200D or c == 0x200C:
                 p[c] |= JOINER
-            elif cat == "Cf" and not (0x600 <= c <= 0x605 or c in (0x6DD, 0x70F)) or cat == "Cc" and c not in (9, 10, 11, 12, 13, 0x85) or c in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x180B, 0x180C, 0x180D):
+            elif cat == "Cf" and not (0x600 <= c <= 0x605 or c in (0x6DD, 0x70F)) or cat == "Cc" and c not in (9, 10, 11, 12, 13, 0x85) or 0xFE00 <= c < 0xFE0F or c in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x180B, 0x180C, 0x180D):
                 p[c] |= DROPS
                 p[c] &= 0xFFFF ^ (MAPS | LETTER)
                 grown.pop(c, None)
@@ -152,6 +152,7 @@ class Tables:
         # a row needs more than a glance if one of its characters has one of these
         self.glance = ((p & (MAPS | DROPS | MARK | FOREIGN | JOINER | ODD)) != 0)
         self.glance[0x1100:0x1200] = True
+        self.glance[TOP] = True
 
 
 def _ragged(m: dict[int, str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
