@@ -163,6 +163,46 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r.record_id for r in spark.read.parquet(base).collect()) == ["a", "b", "c"]
 
 
+def test_late_rows_are_left_out(spark, tmp_path):
+    from corpusloom.streaming.appends import late_counts
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("at"), "k").coalesce(1).write.mode("append").parquet(src)
+    put([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 09:00:00", "b")])
+
+    def run():
+        stream = late_counts(spark.readStream.schema("at timestamp, k string").parquet(src), "at", "k")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+    run()
+    put([("2024-01-01 00:20:00", "a"), ("2024-01-01 12:00:00", "c")])  # the first is later than two hours
+    run()
+    assert {(r.k, r.n) for r in spark.read.parquet(out).collect()} >= {("a", 2)} and ("a", 1) not in {(r.k, r.n) for r in spark.read.parquet(out).collect()}
+
+
+def test_audit_checks(spark):
+    from corpusloom.operators import audit
+
+    sides = spark.createDataFrame([("r", "left", "a x b x"), ("r", "right", "a y b")], "record_id string, side string, text string")
+    rules = sides.select("record_id", "side", X.sha(F.col("text")).alias("text_sha"), F.when(F.col("side") == "left", "x").otherwise(" y").alias("span"))
+    rules = rules.unionByName(spark.createDataFrame([("r", "left", "stale", "x")], rules.schema))
+    got = {(r.side, r.error): r.text for r in audit.scoped_removals(sides, rules).collect()}
+    assert got == {("left", "span_not_unique"): None, ("right", None): "a b", ("left", "stale_rule"): None}
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    assert {(r.k, r.more_in) for r in audit.differences(a, b).collect()} == {(1, "first"), (3, "second")}
+    assert [(r.k, r.only_in) for r in audit.key_parity(a, b, "k").collect()] == [(3, "second")]
+    m = spark.createDataFrame([('"hi"',), ('[{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]',), ("plain",)], "raw string")
+    assert [r[0] for r in m.select(audit.message_text(F.col("raw"))).collect()] == ["hi", "a\nb", "plain"]
+    assert audit.markdown(a.groupBy("k").count().orderBy("k"), "Counts").splitlines()[4:] == ["| 1 | 2 |", "| 2 | 1 |"]
+    assert len(audit.rules_fingerprint("x")) == 64
+
+
+def test_writing_rules(spark):
+    p = spark.createDataFrame([("a", "text c1", ["c1"], ["c9"]), ("b", " ", ["c1", "c1"], None), ("c", "fine", None, [])], "pair_id string, text string, claim_ids array<string>, unresolved_claim_ids array<string>")
+    got = {r.pair_id: r.problems for r in enrichment.writing_problems(p).collect()}
+    assert got == {"a": ["unknown_unresolved", "claim_id_in_text"], "b": ["empty_writing", "repeated_claim_id"], "c": []}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
     (tmp_path / "b.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n')
