@@ -125,11 +125,18 @@ class SuffixAutomaton:
         return out
 
 
-def copied_share(answer: str, source: str) -> float:
-    """Share of the answer's tokens that lie in matches with the source, in the source's order."""
+def copied_share(answer: str, source: str, enough: float = 0.0) -> float:
+    """Share of the answer's tokens that lie in matches with the source, in the source's order.
+
+    0 where the tokens that both hold are too few to reach enough, whatever their order.
+    """
     a, b = TOKEN.findall(answer.casefold()), TOKEN.findall(source.casefold())
     if not a or not b:
         return 0.0
+    if enough > 0:
+        known = set(b)
+        if sum(t in known for t in a) < enough * len(a):
+            return 0.0
     least = RUN_CJK if len(CJK.findall(answer)) * 2 > len(a) else RUN
     least = min(least, len(a))
     auto = SuffixAutomaton(b)
@@ -279,11 +286,11 @@ def defects(text: str | None, source: str | None, target: str | None) -> list[st
         if is_truncated(text, source or ""):
             out.append("truncated")
         if source:
-            share = copied_share(text, source)
+            share = copied_share(text, source, COPIED)
             if share < COPIED:
                 m = LEAD_IN.match(text)
                 if m and m.end() < len(text):
-                    share = copied_share(text[m.end() :], source)
+                    share = copied_share(text[m.end() :], source, COPIED)
             if share >= COPIED:
                 out.append("copied_source")
     if is_other_language(text, code_of(target)):
