@@ -285,7 +285,6 @@ def search_substring(spark, d):
 @query(f"select rid, count(*) over () as total from records where language='en' and pair_type='rewrite' and instr({SEARCH}, 'ferry') > 0 and {_contains('ferry')} order by rid limit 20 offset 40")
 def page_with_total(spark, d):
     q = search.Query(q="ferry", language="en", pair_type="rewrite", offset=40, limit=20)
-    hits = search.filtered(table(spark, d, "records").withColumn("content_hash", _digest()), q)
     total, rows = search.page(table(spark, d, "records").withColumn("content_hash", _digest()), q)
     return rows.select("rid", F.lit(total).cast("long").alias("total"))
 
