@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 FILE = "_metadata.file_path"
 
@@ -85,7 +84,3 @@ def flat_sections(docs: DataFrame, key: str, raw: str) -> DataFrame:
         if depth < 6:
             x = x.select(key, F.explode("n.sections").alias("n"))
     return out
-
-
-def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

@@ -223,6 +223,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,count.b\n"x\ny",3\n')
     r = readers.csv(spark, str(tmp_path / "t.csv")).first()
     assert r.a == "x\ny" and r["count.b"] == 3
+    nested = {"heading": "A", "sentences": ["one"], "sections": [{"heading": "B", "sentences": ["two", "three"], "sections": [{"heading": "C", "sentences": ["four"]}]}]}
+    flat = readers.flat_sections(spark.createDataFrame([(1, json.dumps(nested))], "k int, raw string"), "k", "raw")
+    assert sorted((r.depth, r.heading, r.sentence) for r in flat.collect()) == [(1, "A", "one"), (2, "B", "three"), (2, "B", "two"), (3, "C", "four")]
+    rows = readers.glob(spark, str(tmp_path / "[ab].jsonl"), "x int").where("x is not null")
+    files = rows.select("file").distinct().withColumn("record_count", F.lit(2))
+    assert rows.count() == 4 and readers.manifest_check(rows, files).count() == 0 and readers.manifest_check(rows, files.withColumn("record_count", F.lit(3))).count() == 2
     kinds = {r.file.rsplit("/", 1)[1]: r.kind for r in readers.inventory(spark, str(tmp_path)).collect()}
     assert kinds["a.jsonl"] == "data" and kinds["l.txt"] == "document"
 
