@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -7,6 +7,7 @@ names.  The weights go to pii_lstm.npz beside this module.
 
 from __future__ import annotations
 
+import re
 import sys
 import time
 from pathlib import Path
@@ -16,7 +17,7 @@ import pyarrow.parquet as pq
 
 from . import codepoints as C
 from . import gru, lstm
-from .pii import SYMBOLS, TAGS, settle, symbol_table, tagged_spans
+from .pii import SYMBOLS, TAGS, symbol_table
 from .pii_labels import KINDS, spans
 
 SAMPLE, HIDDEN, STEPS, BATCH, WIDTH = 10_000, 16, 6000, 80, 144
@@ -33,7 +34,7 @@ def varied(text: str, sp: list, rng: np.random.Generator) -> tuple[str, list]:
             piece = "".join(str(rng.integers(10)) if c.isdigit() and c.isascii() else c for c in piece)
         if rng.random() < 0.5 and KINDS[k] in ("person_name", "street_address", "email"):
             words = []
-            for w in __import__("re").split(r"([^A-Za-zÀ-ÿ]+)", piece):
+            for w in re.split(r"([^A-Za-zÀ-ÿ]+)", piece):
                 if len(w) > 3 and w.isalpha() and w.lower() not in ("flat", "road", "street", "lane", "avenue", "close", "drive", "court", "rue", "calle", "chemin", "weg"):
                     s = "".join(rng.choice(SYLLABLES) for _ in range(rng.integers(2, 4)))
                     w = s.upper() if w.isupper() else s.capitalize() if w[0].isupper() else s
