@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import codepoints as C
 from .language import code_of
 from .textio import slices
@@ -303,6 +304,7 @@ def found(pairs: DataFrame, queue: DataFrame) -> DataFrame:
     Whole-row repeats of pairs and queue rows count once; a pair whose queue row is unknown is judged without
     prompt and target language; null and empty texts are 'empty'; null keys never join.
     """
+    ship(pairs.sparkSession)
     p = pairs.select("pair_id", "queue_id", "text").dropDuplicates()
     q = queue.select(F.col("queue_id").alias("q_id"), F.col("selected_source_text").alias("source"), F.col("target_language").alias("target")).dropDuplicates(["q_id"])
     both = p.join(q, p.queue_id == q.q_id, "left").select("pair_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), "target")

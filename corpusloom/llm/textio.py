@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SLICE = 1 << 20  # bytes of text handled at once; a longer text is a slice of its own
 
 
@@ -32,6 +34,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE) -> DataFrame:
     """df through fn, slice by slice of its text column."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

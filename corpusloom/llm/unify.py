@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import codepoints as C
-from .textio import map_text
+from .textio import map_text, slices
 
 
 def unify_text(df: DataFrame, column: str, out: str | None = None, flag: str | None = None) -> DataFrame:
@@ -35,13 +36,12 @@ def unify_text(df: DataFrame, column: str, out: str | None = None, flag: str | N
 
 def found(records: DataFrame, key: str = "rid", columns: tuple[str, ...] = ("text", "title")) -> DataFrame:
     """(key, field_name) of each field that holds a stand-in or hidden character; null and empty fields hold none."""
+    ship(records.sparkSession)
 
     def run(batches):
         for b in batches:
             keys = b.column(key)
             for name in columns:
-                from .textio import slices
-
                 for part in slices(b.select([key, name]), name):
                     cp, off = C.explode(part.column(name))
                     _, _, bad = C.unify(cp, off)
