@@ -23,7 +23,6 @@ SYNONYMS = {
     "eng": "en", "english": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "chinese": "zh", "jpn": "ja", "japanese": "ja", "jp": "ja",
     "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "spa": "es", "spanish": "es", "cn": "zh",
 }
-MISSING = ("", "unknown", "und", "none", "null", "n/a", "?")
 LEAST_LETTERS, LEAST_HAN, WINDOW, MARGIN = 12, 5, 448, 32
 READ = 1 << 18  # bytes read at once: the states of a step then stay in a core's cache
 

@@ -75,8 +75,6 @@ DECOY = re.compile(r"\s[<>]=?\s|<[A-Z][A-Z0-9_]+>|(?<![{\\])\{[\w .-]+\}|\$\d|\b
 WORDS = re.compile(r"[^\W_]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
-TRIGGERS = "<>&\\$*_#`[]{}|=~'-"
-
 
 def trigger_table(n: int) -> np.ndarray:
     t = np.zeros(n, bool)
