@@ -38,7 +38,7 @@ COMMENT = re.compile(r"<!--.*?-->", re.S)
 SCRIPT = re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
 PRE = re.compile(r"<pre\b[^<>]*>(.*?)</pre\s*>", re.I | re.S)
 
-FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[^\n`]*\n(.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
+FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)$", re.M)
 FENCE_LINE = re.compile(r"^[ \t]{0,3}(?:`{3,}|~{3,})[ \t]*[\w+-]*[ \t]*$", re.M)
 TICKS = re.compile(r"(?<![`\\])(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
 MD_HEAD = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$", re.M)
@@ -148,11 +148,82 @@ def constructs(block: str, inside: str = "") -> tuple[int, int, int, int]:
     return h, m, w, t
 
 
+# How lines of code begin or end that follow a fence nobody closed.
+CODE_START = re.compile(
+    r"\s*(?:(?:def|class|for|while|if|elif|else|try|except|with|return|let|const|var|import|from|function|public|private|static|async|await|fn|func|package|struct|enum|switch|case|do|end|done|fi|pass|break|continue|raise|throw|new)\b(?=$|.*[;:{}()=\[\],.\"'_\d]|\s+\w+$)"
+    r"|(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|WITH|FROM|WHERE|GROUP BY|ORDER BY|JOIN|VALUES|SET|LIMIT)\b(?=$|.*[\w*)(,;])|#include\b|@\w+|\$ \S|>>> "
+    r"|[\w.\[\]]+(?:, ?[\w.]+)*\s*[-+*/|&:]?=\s*\S|[\w.]+\([^\n]*\)\s*[;:{]?\s*$)"
+)
+CODE_SIGN = re.compile(r"^(?: {2,}|\t)\s*\S|[;{}\]]\s*$|\w\([^\n]*\)?\s*:?\s*$|[=!]=|->|=>|::|&&|\|\||\w\[\w*\]|^\s*(?:sudo|pip|npm|git|cd|ls|cat|echo|python|curl|docker|export)\s")
+CODE_NEUTRAL = re.compile(r"\s*(?:$|#|//|--|/?\*)")
+CODE_STRING = re.compile(r"\"[^\"\n]*\"|(?<![\w\s])'[^'\n]*'|(?<==\s)'[^'\n]*'")
+SQL = re.compile(r"\s*[A-Z]{3,}\b")
+PROSE = re.compile(r"(?<!\w)[^\W\d_]+(?:[ ,'’-]+[^\W\d_]+(?![\w(.\[])){3,}|[぀-ヿ㐀-鿿豈-﫿]{5,}|[^\W\d_]{2,}[ ,'’-]+[^\W\d_]{2,}[.!?…][\"”»)]?\s*$")
+ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
+
+
+def code_line(line: str, tagged: bool = False) -> bool:
+    """Whether a line after an unclosed fence looks like code; tagged: the fence names a markup language."""
+    if tagged and re.match(r"\s*[<\\]", line):
+        return True
+    bare = CODE_STRING.sub('""', line)
+    if PROSE.search(bare) and not (SQL.match(bare) and CODE_START.match(bare)):
+        return False
+    if CODE_START.match(bare):
+        return True
+    if not CODE_SIGN.search(bare) or ITEM.match(line):
+        return False
+    h, _, w, t = constructs(line)
+    return not (h or w or t)
+
+
+def fences(text: str) -> list[tuple[int, int, int, int]]:
+    """Start of each code fence, start and end of its code, end of the fence.  One that is never closed, or not before
+    the next that names a language, is a remnant: only the lines after it that look like code are its code."""
+    edges = [(m.start(), m.end(), m[1][0], len(m[1]), m[2].strip(" \t~")) for m in FENCE.finditer(text)]
+    out: list[tuple[int, int, int, int]] = []
+    never: dict[str, int] = {}  # shortest fence of each sign that no line closes
+    i = 0
+    while i < len(edges):
+        start, end, sign, size, name = edges[i]
+        i += 1
+        if end == len(text):
+            break
+        close = None
+        if size < never.get(sign, size + 1):
+            for j in range(i, len(edges)):
+                if edges[j][2] == sign and edges[j][3] >= size:
+                    if not edges[j][4]:
+                        close = j
+                        break
+                    if edges[j][3] == size:
+                        break
+            else:
+                never[sign] = size
+        if close is not None:
+            out.append((start, end + 1, edges[close][0], edges[close][1]))
+            i = close + 1
+            continue
+        tagged = name.split(" ")[0].lower() in ("html", "xml", "svg", "vue", "jsx", "tsx", "tex", "latex")
+        stop = edges[i][0] if i < len(edges) else len(text)
+        at = last = end + 1
+        while at < stop:
+            to = text.find("\n", at, stop) + 1 or stop
+            line = text[at:to].rstrip("\n")
+            if code_line(line, tagged):
+                last = to
+            elif not CODE_NEUTRAL.match(line):
+                break
+            at = to
+        out.append((start, end + 1, last, last))
+    return out
+
+
 def flat_blocks(text: str) -> list[tuple[str, str]]:
     """The flat blocks of a text with what they lie in: '', 'code' or 'wikitable'."""
     out: list[tuple[str, str]] = []
     pos = 0
-    code = [(m.start(2), m.end(2)) for m in FENCE.finditer(text)] if "```" in text or "~~~" in text else []
+    code = [(a, b) for _, a, b, _ in fences(text)] if "```" in text or "~~~" in text else []
     for a, b in [*code, (len(text), len(text))]:
         for line in text[pos:a].split("\n"):
             if line.strip():
@@ -255,7 +326,11 @@ def clean(text: str, drop_made: bool = False) -> str:
             t = new
         t = t.replace("\xa0", " ")
     if "```" in t or "~~~" in t:
-        t = FENCE.sub(lambda m: "" if drop_made else _hold(kept, m[2].rstrip("\n")) + "\n", t)
+        parts, at = [], 0
+        for start, a, b, end in fences(t):
+            parts += [t[at:start], "" if drop_made or end == a else _hold(kept, t[a:b].rstrip("\n")) + "\n"]
+            at = end
+        t = "".join([*parts, t[at:]])
         t = FENCE_LINE.sub("", t)
     if "<" in t or "-->" in t:
         t = COMMENT.sub("", SCRIPT.sub("", t))
