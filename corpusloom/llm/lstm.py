@@ -141,23 +141,71 @@ def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
     return g, loss
 
 
-def lively(e: np.ndarray, start: np.ndarray, size: np.ndarray, sure: float = -1.0, reach: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the stretches that are worth decoding: all positions within reach of one where another
-    tag leads tag 0 by -sure nats.  Elsewhere every tag is 0, as in a beam of that width; in each span of the
-    training texts some position leads by two or more."""
-    n = len(e)
-    best = np.ascontiguousarray(e.T)[1:].max(0)
-    open_at = np.flatnonzero(best + sure > e[:, 0])
-    if not len(open_at):
-        return open_at, open_at
-    order = np.argsort(start, kind="stable")
-    start, stop = start[order], (start + size)[order]
-    row = np.searchsorted(start, open_at, "right") - 1
-    a, b = np.maximum(open_at - reach, start[row]), np.minimum(open_at + reach + 1, stop[row])
+def _merged(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted ranges of rows, those put together that touch or leave fewer than three positions between them."""
+    order = np.argsort(a, kind="stable")
+    a, b, row = a[order], np.maximum.accumulate(b[order]), row[order]
     first = np.ones(len(a), bool)
-    first[1:] = (a[1:] > b[:-1]) | (row[1:] != row[:-1])
-    last = np.append(first[1:], True)
-    return a[first], b[last] - a[first]
+    first[1:] = (a[1:] > b[:-1] + 2) | (row[1:] != row[:-1])
+    return a[first], b[np.append(first[1:], True)] if len(a) else b, row[first]
+
+
+def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the stretches that must be decoded; elsewhere tag 0 is on a best path, whatever the rest is.
+
+    A run of other tags is on the best path only if it gains on the same run of tag 0.  A bound of that gain is a sum
+    over its positions: the lead of the best other tag, with the most that a step to that tag can bring, and the most
+    that leaving the run can bring.  Positions in no run whose bound is positive stay tag 0.  Stretches keep one such
+    position at each side where the text goes on, whose other tags are ruled out in e.
+    """
+    if not len(size):
+        return start, size
+    order = np.argsort(start, kind="stable")
+    start, size = start[order], size[order]
+    stop = start + size
+    s = (tr - tr[0, 0]).astype(np.float64)
+    # a step from j to k counts as that much less by shift[j] - shift[k]: any shift is right, this one makes a beginning
+    # pay what its step to a continuation has over the step between continuations
+    inner = np.arange(2, len(s), 2)
+    over = s[1:, inner] - s[inner, inner]
+    over[inner - 1, np.arange(len(inner))] = 0
+    shift = -np.maximum(over.max(1, initial=0), 0)
+    into = np.maximum((s[1:, 1:] + shift[:, None]).max(0), s[0, 1:]) - shift
+    leave = (s[1:, 0] + shift).max()
+    gain = np.array(e.T, order="C")
+    gain[1:] += into[:, None].astype(np.float32)
+    gain = np.subtract(gain[1:].max(0), gain[0], out=gain[0])
+    gain[start] = np.maximum(gain[start], (e[start, 1:] - shift).max(1) - e[start, 0])
+    gain[stop - 1] += max(0.0, shift.max() - leave)
+    peak = np.flatnonzero(gain > 0)
+    row = np.searchsorted(start, peak, "right") - 1
+    real = (row >= 0) & (peak < stop[row])
+    peak, row = peak[real], row[real]
+    reach = np.full(len(peak), 16)
+    while True:  # a run that gains lies within a zone around its peaks, if no run at a zone's edge gains before it leaves
+        zone_a, zone_b, at = _merged(np.maximum(peak - reach, start[row]), np.minimum(peak + reach + 1, stop[row]), row)
+        n = zone_b - zone_a
+        zone = np.repeat(np.arange(len(n)), n)
+        head = np.concatenate([[0], np.cumsum(n)])[:-1]
+        pos = np.arange(len(zone)) + (zone_a - head)[zone]
+        g = gain[pos].astype(np.float64)
+        total = np.concatenate([[0.0], np.cumsum(g)])
+        # sums from the start of each zone, each zone wholly below the one before it
+        spread = np.add.reduceat(np.abs(g), head).max() * 2 + 1 if len(n) else 1.0
+        down = (total[head] + spread * np.arange(len(n)))[zone]
+        most = np.maximum.accumulate((total[1:] - down)[::-1])[::-1] - np.minimum.accumulate(total[:-1] - down)
+        tail = head + n - 1
+        wider = (zone_a > start[at]) & (most[head] > -1e-2) | (zone_b < stop[at]) & (most[tail] > -1e-2)
+        if not wider.any():
+            break
+        reach[wider[np.searchsorted(zone_a, peak, "right") - 1]] *= 4
+    hit = np.flatnonzero(most + leave > -1e-2)
+    open_at, row = pos[hit], at[zone[hit]]
+    lo, hi, row = _merged(open_at, open_at + 1, row)
+    a, b = np.maximum(lo - 1, start[row]), np.minimum(hi + 1, stop[row])
+    e[a[a < lo], 1:] = -1e9
+    e[b[b > hi] - 1, 1:] = -1e9
+    return a, b - a
 
 
 def viterbi(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

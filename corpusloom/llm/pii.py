@@ -82,7 +82,7 @@ def tag(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     p = net()
     live = np.flatnonzero(n > 0)
     e = lstm.emissions(p, data, at[:-1][live], even[live])
-    tags = lstm.viterbi(e, p["tr"], *lstm.lively(e, at[:-1][live], n[live]))
+    tags = lstm.viterbi(e, p["tr"], *lstm.lively(e, p["tr"], at[:-1][live], n[live]))
     take = real & (inner >= np.repeat(np.where(a > 0, MARGIN, 0), even)) & (inner < np.repeat(np.where(last, n, n - MARGIN), even))
     out = np.zeros(len(cp), np.int8)
     out[src[take]] = tags[take]

@@ -1,10 +1,11 @@
 """Cases where the operators once did less than the whole job."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from corpusloom.llm import codepoints as C
-from corpusloom.llm import markup, overlap, residue
+from corpusloom.llm import lstm, markup, overlap, residue
 
 PROSE = "The river board read the annual report <br/> of the town & its [[Otter|ford]]."
 
@@ -36,3 +37,46 @@ def test_closed_and_nested_fences():
 def test_words_after_an_open_fence_are_compared():
     cp, off = overlap.running_text(*C.explode(pa.array([f"A mill.\n```\nlet v1 = parse(x);\n{PROSE}"])))
     assert "annual report" in C.implode(cp, off).to_pylist()[0]
+
+
+# --- stretches that the tagger need not decode
+
+
+def score(e, tr, tags):
+    return e[np.arange(len(tags)), tags].sum() + tr[tags[:-1], tags[1:]].sum()
+
+
+def test_skipping_never_changes_the_best_path():
+    rng = np.random.default_rng(7)
+    decoded = 0
+    for trial in range(300):
+        k = 2 * int(rng.integers(1, 4)) + 1
+        size = rng.integers(1, 70, 6)
+        start = np.concatenate([[0], np.cumsum(size + size % 2)])[:-1]
+        e = rng.standard_normal((int((size + size % 2).sum()), k)).astype(np.float32) * rng.choice([0.5, 2, 4])
+        e[:, 0] += rng.choice([0, 3, 9, 30], len(e) // 2).repeat(2)
+        tr = rng.standard_normal((k, k)).astype(np.float32) * 2
+        tr[1:, 0] -= rng.choice([0, 4, 8])
+        want, raw = lstm.viterbi(e, tr, start, size), e.copy()
+        a, n = lstm.lively(e, tr, start, size)
+        got = lstm.viterbi(e, tr, a, n)
+        decoded += n.sum() / size.sum() / 300
+        for x, m in zip(start, size):
+            assert abs(score(raw[x : x + m], tr, got[x : x + m]) - score(raw[x : x + m], tr, want[x : x + m])) < 1e-3
+    assert decoded < 0.95
+
+
+def test_small_leads_win_together():
+    e = np.zeros((60, 3), np.float32)
+    e[:, 0] = 6
+    e[20:40, 2], e[20, 1] = 6.9, 6.9  # each leads by less than one
+    tr = np.array([[0, -0.5, -1e4], [-4, -5, 1], [-4, -5, 0.3]], np.float32)
+    got = lstm.viterbi(e, tr, *lstm.lively(e, tr, np.array([0]), np.array([60])))
+    assert (got > 0).tolist() == [20 <= i < 40 for i in range(60)]
+
+
+def test_nothing_to_decode():
+    e, none = np.zeros((8, 3), np.float32), np.empty(0, np.int64)
+    e[:, 0] = 50
+    assert len(lstm.lively(e, np.zeros((3, 3), np.float32), np.array([0, 4]), np.array([4, 4]))[0]) == 0
+    assert len(lstm.lively(e[:0], np.zeros((3, 3), np.float32), none, none)[0]) == 0
