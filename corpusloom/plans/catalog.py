@@ -394,8 +394,10 @@ def shortest_per_collection(spark, d):
 @query()
 def greedy_dedup_queue(spark, d):
     r = table(spark, d, "records").where(F.col("text").isNotNull())
-    c = r.select(F.col("rid").alias("place"), "record_id", X.sha(X.collapse(F.coalesce("right_text", "text"))).alias("selected_hash"), X.sha(X.collapse(F.col("text"))).alias("original_hash"), F.concat_ws("/", F.col("collection"), F.col("record_locator")).alias("doc_id"))
-    return sampling.greedy_queue(c.withColumn("doc_id", F.lit(None).cast("string")))
+    # one record per document where the records are revisions of whole documents; a missing document counts as one
+    document = F.when(F.col("collection") == "news-revision", F.coalesce("source_doc_id", F.lit("")))
+    c = r.select(F.col("rid").alias("place"), "record_id", X.sha(X.collapse(F.coalesce("right_text", "text"))).alias("selected_hash"), X.sha(X.collapse(F.col("text"))).alias("original_hash"), document.alias("doc_id"))
+    return sampling.greedy_queue(c)
 
 
 @query("""select sampling_group, coalesce(split,'none') as split, count(*) as n, sum(selected_source_chars)::bigint as chars, count(distinct source_id) as sources, count(distinct selected_source_text) as texts from enrichment_queue group by 1, 2""")
