@@ -6,6 +6,7 @@ segment (a sentence or line) are pooled to its language, the segments to the doc
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import codepoints as C
-from . import gru, overlap, stock
+from . import gru, markup, overlap, stock
 from .textio import map_text
 
 CODES = ["en", "zh", "ja", "de", "fr", "es"]
@@ -132,11 +133,31 @@ def label_rows(cp: np.ndarray, off: np.ndarray) -> tuple[list[list[int]], np.nda
     return out, conf
 
 
-def prepared(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+SENTENCES = re.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？\n])")
+
+
+def without_code(text: str) -> str:
+    return markup.clean(text, drop_code=True)
+
+
+def sentences(text: str) -> str:
+    """The running text and what else markup holds in sentences: names in links, titles and lists have no vote where
+    the text has others."""
+    whole, plain = without_code(text), {x.strip() for x in SENTENCES.split(overlap.running(text))}
+    kept = "".join(x for x in SENTENCES.split(whole) if x.strip() in plain or _sentence(x))
+    return kept if any(c.isalpha() for c in kept) else whole
+
+
+def _sentence(x: str) -> bool:
+    ends = x.rstrip()[-1:] in (*".!?…。！？",)
+    return markup._size(x) >= (4 if ends else 6)
+
+
+def prepared(b: pa.RecordBatch, rewrite=sentences) -> tuple[np.ndarray, np.ndarray]:
     cp, off = C.explode(b.column("text"))
     cp, off, _ = C.unify(cp, off)
     cp, off = stock.drop_lines(cp, off, b.column("stock_keys"))
-    return overlap.running_text(cp, off)
+    return overlap.running_text(cp, off, rewrite)
 
 
 def languages(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -153,7 +174,7 @@ def segments(records: DataFrame, key: str = "rid") -> DataFrame:
     """(key, segment_no, segment, lang_code, confidence) of all segments with letters."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        cp, off = prepared(b)
+        cp, off = prepared(b, without_code)
         starts, row, lang, sure, weight = read(cp, off)
         ok = np.flatnonzero(weight >= 0)
         if not len(ok):

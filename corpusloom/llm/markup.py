@@ -310,12 +310,14 @@ def _hold(kept: list[str], s: str) -> str:
     return f"\ue000{len(kept) - 1}\ue001"
 
 
-def clean(text: str, drop_made: bool = False) -> str:
+def clean(text: str, drop_made: bool = False, drop_code: bool = False) -> str:
     """The text without its markup: headings stand alone on their line, list items keep a dash, table rows
     keep their cells between bars, code and formulas stay as they are.  With drop_made also code, formulas,
-    tables, references and picture captions go, which leaves the running text for comparisons."""
+    tables, references and picture captions go, which leaves the running text for comparisons.  With drop_code only
+    code and formulas go, and all other words stay."""
     if not needs_look(text):
         return text
+    drop_code = drop_code or drop_made
     kept: list[str] = []
     t = text.replace("\ue000", "").replace("\ue001", "")
     if "&" in t:
@@ -328,13 +330,15 @@ def clean(text: str, drop_made: bool = False) -> str:
     if "```" in t or "~~~" in t:
         parts, at = [], 0
         for start, a, b, end in fences(t):
-            parts += [t[at:start], "" if drop_made or end == a else _hold(kept, t[a:b].rstrip("\n")) + "\n"]
+            parts += [t[at:start], "" if drop_code or end == a else _hold(kept, t[a:b].rstrip("\n")) + "\n"]
             at = end
         t = "".join([*parts, t[at:]])
         t = FENCE_LINE.sub("", t)
     if "<" in t or "-->" in t:
         t = COMMENT.sub("", SCRIPT.sub("", t))
-        t = PRE.sub(lambda m: "\n" + ("" if drop_made else _hold(kept, TAG.sub("", m[1]))) + "\n", t)
+        t = PRE.sub(lambda m: "\n" + ("" if drop_code else _hold(kept, TAG.sub("", m[1]))) + "\n", t)
+        if drop_code and not drop_made:
+            t = re.sub(r"<code\b[^<>]*>[^<>]*</code\s*>", " ", t, flags=re.I)
         if drop_made:
             t = re.sub(r"<(table|h1|ref|figure)\b[^<>]*>.*?</\1\s*>|<(kbd|sup|sub|code)\b[^<>]*>[^<>]*</\2\s*>|<a\b[^<>]*>[^<>]*</a\s*>", "\n", t, flags=re.I | re.S)
             t = re.sub(r"<li\b[^<>]*>[^<>\n]*", "\n", t, flags=re.I)
@@ -344,9 +348,9 @@ def clean(text: str, drop_made: bool = False) -> str:
         t = CUT_TAG.sub("", t)
         t = AUTOLINK.sub(r"\1", t)
     if "`" in t:
-        t = TICKS.sub(lambda m: "" if drop_made else _hold(kept, m[2]), t)
+        t = TICKS.sub(lambda m: "" if drop_code else _hold(kept, m[2]), t)
     if "\\" in t or "$" in t:
-        t = TEX_MATH.sub(lambda m: ("" if drop_made else _hold(kept, (m[1] or m[2] or m[3] or m[4]).strip())) if m[4] is None or re.search(r"[\\^_={}+<>*/|-]|^\s*\w", m[4]) else m[0], t)
+        t = TEX_MATH.sub(lambda m: ("" if drop_code else _hold(kept, (m[1] or m[2] or m[3] or m[4]).strip())) if m[4] is None or re.search(r"[\\^_={}+<>*/|-]|^\s*\w", m[4]) else m[0], t)
         if "\\" in t:
             if drop_made:
                 t = re.sub(r"\\(?:title|author|date|label|cite\w*|ref|emph|textbf|texttt|includegraphics|caption|item)\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\}|[ \t]+\S*[^\n]*(?<!\{))?", "", t)

@@ -33,20 +33,36 @@ SIGNATURE_TYPES = ", ".join(f"{x} long" for x in SIGNATURE)
 LEAD = re.compile(r"\A\s*(?:# [^\n]+|'''[^\n]+?'''|\*\*[^*\n]+\*\*|\\title\{[^\n]+\}|[^\n]+\n={3,})[ \t]*\n(?=\s*\S)")
 
 
-def running_text(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def running(text: str) -> str:
     """Without markup and what only the markup adds: a title line at the start, code, tables, references."""
-    look = markup.trigger_table(C.TOP + 1)[C.clip(cp)] if len(cp) else np.zeros(0, bool)
-    rows = np.flatnonzero(C.any_by_row(look, off))
-    quotes = np.flatnonzero((cp[:-1] == 39) & (cp[1:] == 39)) if len(cp) else np.empty(0, int)
-    dashes = np.flatnonzero((cp[:-2] == 45) & (cp[1:-1] == 45) & (cp[2:] == 45)) if len(cp) > 2 else np.empty(0, int)
-    rows = np.union1d(rows, np.searchsorted(off, np.concatenate([quotes, dashes]), "right") - 1).astype(np.int64)
+    return markup.clean(LEAD.sub("", text), True)
+
+
+def whole(text: str) -> str:
+    """Without the signs of markup, but with all its words; a text of nothing else stays as it is."""
+    t = markup.clean(text)
+    return t if any(c.isalnum() for c in t) else text
+
+
+def running_text(cp: np.ndarray, off: np.ndarray, rewrite=running) -> tuple[np.ndarray, np.ndarray]:
+    """The texts rewritten where they hold a sign of markup."""
+    rows = marked(cp, off)
     if not len(rows):
         return cp, off
     texts = C.implode(*C.pick(cp, off, rows)).to_pylist()
-    a, o = C.explode(pa.array([markup.clean(LEAD.sub("", t), True) for t in texts], pa.string()))
+    a, o = C.explode(pa.array([rewrite(t) for t in texts], pa.string()))
     return C._put(cp, off, rows, a, o)
 
 
+def marked(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows that hold a sign of markup."""
+    look = markup.trigger_table(C.TOP + 1)[C.clip(cp)] if len(cp) else np.zeros(0, bool)
+    rows = np.flatnonzero(C.any_by_row(look, off))
+    quotes = np.flatnonzero((cp[:-1] == 39) & (cp[1:] == 39)) if len(cp) else np.empty(0, int)
+    dashes = np.flatnonzero((cp[:-2] == 45) & (cp[1:-1] == 45) & (cp[2:] == 45)) if len(cp) > 2 else np.empty(0, int)
+    return np.union1d(rows, np.searchsorted(off, np.concatenate([quotes, dashes]), "right") - 1).astype(np.int64)
+
+
 def tokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows and the offsets of the rows in them."""
     t = C.tables()
@@ -80,7 +96,10 @@ def most(n):
 
 
 def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
-    """(key, train, cls, n, signature, tokens) of the records of the training and evaluation splits that have words."""
+    """(key, train, cls, n, signature, tokens) of the records of the training and evaluation splits that have words.
+
+    A record whose text holds markup comes twice where that makes a difference: as running text and with all words.
+    """
     by_site = stock.stock_of(records, key)
     split = F.lower(F.trim(F.col("split")))
     # a short line that names the record's own host is a line of the site, however few rows the site has
@@ -97,10 +116,17 @@ def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
         cp, off = C.explode(b.column("text"))
         cp, off, _ = C.unify(cp, off)
         cp, off = stock.drop_lines(cp, off, b.column("stock_keys"))
-        cp, off = running_text(cp, off)
-        tok, at = tokens(cp, off)
+        rows = marked(cp, off)
+        tok, at = tokens(*running_text(cp, off))
+        of = np.arange(b.num_rows)
+        if len(rows):
+            more, ends = tokens(*running_text(*C.pick(cp, off, rows), whole))
+            tok, at, of = np.concatenate([tok, more]), np.concatenate([at, at[-1] + ends[1:]]), np.concatenate([of, rows])
         n = np.diff(at)
-        keep = np.flatnonzero(n > 0)
+        cls = C.hash_runs(tok.view(np.uint32), at[:-1], at[1:]).view(np.int64)
+        again = np.zeros(len(n), bool)
+        again[b.num_rows :] = cls[b.num_rows :] == cls[of[b.num_rows :]]
+        keep = np.flatnonzero((n > 0) & ~again)
         if not len(keep):
             return None
         cls = C.hash_runs(tok.view(np.uint32), at[keep], at[keep + 1]).view(np.int64)
@@ -112,7 +138,7 @@ def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
             sig.append((seen[at[keep + 1]] ^ seen[at[keep]]).view(np.int64))
         data = np.ascontiguousarray(tok).tobytes()
         packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(data)]).take(pa.array(keep))
-        take = pa.array(keep)
+        take = pa.array(of[keep])
         return pa.RecordBatch.from_arrays(
             [b.column(key).take(take), b.column("train").take(take), pa.array(cls), pa.array(n[keep].astype(np.int32)), *map(pa.array, sig), packed],
             names=[key, "train", "cls", "n", *SIGNATURE, "tokens"],
@@ -403,7 +429,8 @@ def overlaps(records: DataFrame, key: str = "rid") -> DataFrame:
     ev = member.where(~F.col("train")).select(F.col(key).alias("eval_id"), F.col("cls").alias("cls_a"), F.col("n").alias("tokens"))
     tr = member.where("train").select(F.col(key).alias("train_id"), F.col("cls").alias("cls_b"))
     same = ev.join(tr, F.col("cls_a") == F.col("cls_b")).select("eval_id", "train_id", F.lit(0).alias("edits"), "tokens")
-    return same.unionByName(close.join(ev, "cls_a").join(tr, "cls_b").select("eval_id", "train_id", "edits", "tokens"))
+    both = same.unionByName(close.join(ev, "cls_a").join(tr, "cls_b").select("eval_id", "train_id", "edits", "tokens"))
+    return both.groupBy("eval_id", "train_id").agg(F.min(F.struct("edits", "tokens")).alias("m")).select("eval_id", "train_id", "m.edits", "m.tokens")
 
 
 def found(records: DataFrame, key: str = "rid") -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from corpusloom.llm import codepoints as C
-from corpusloom.llm import lstm, markup, overlap, residue
+from corpusloom.llm import language, lstm, markup, overlap, residue
 
 PROSE = "The river board read the annual report <br/> of the town & its [[Otter|ford]]."
 
@@ -80,3 +80,35 @@ def test_nothing_to_decode():
     e[:, 0] = 50
     assert len(lstm.lively(e, np.zeros((3, 3), np.float32), np.array([0, 4]), np.array([4, 4]))[0]) == 0
     assert len(lstm.lively(e[:0], np.zeros((3, 3), np.float32), none, none)[0]) == 0
+
+
+# --- words that stand in markup
+
+SCHEMA = "rid long, collection string, split string, language string, source_url string, title string, text string"
+LONG = "the river board read the annual report of the town again and {} was glad of it before the rain came"
+
+
+def pairs_of(spark, *texts, urls=None):
+    rows = [(i, f"c{i}", "test" if i % 2 else "train", "en", (urls or {}).get(i), None, t) for i, t in enumerate(texts)]
+    return sorted(map(tuple, overlap.found(spark.createDataFrame(rows, SCHEMA)).collect()))
+
+
+def test_texts_of_code_tables_lists_and_links_are_compared(spark):
+    code, items, table, wiki = "```\nprint(mill.wheel)\n```", "* the old wheel\n* the new race", "| mill | wheel |\n| race | board |", "{{Infobox mill|wheel=old}}"
+    assert pairs_of(spark, code, code, items, items, table, table, wiki, wiki) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    link = LONG.format("[everyone who lived there by the mill](https://a.example/x)")
+    assert pairs_of(spark, link, LONG.format("everyone who lived there by the mill")) == [(0, 1)]
+
+
+def test_running_text_still_compares_without_added_code(spark):
+    added = LONG.format("everyone") + "\n```\n" + "run(mill, wheel)\n" * 9 + "```"
+    assert pairs_of(spark, added, LONG.format("everyone")) == [(0, 1)]
+
+
+def test_list_sentences_vote_and_names_do_not(spark):
+    en = "The river board reviewed the annual budget of the town after the second reading. Nobody had asked for it."
+    de = "* Der Förderkreis verschob die Sitzung, weil niemand danach gefragt hatte.\n* Das Protokoll der Stadt fehlte noch immer."
+    rows = [(1, "c", None, "en", None, None, f"{en}\n{de}"), (2, "c", None, "en", None, None, f"# Zezarglolfol\n{en} [Brenzenwolden](https://v.example/p)"), (3, "c", None, "en", None, None, de)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, language.found(df).collect())) == [(1, "de"), (1, "en"), (3, "de")]
+    assert language.segments(df.where("rid = 3")).count() == 2
