@@ -106,7 +106,8 @@ def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
     host = F.regexp_extract(stock.site_of(F.col("source_url"), F.lit(None).cast("string")), r"^host:(.+)$", 1)
     text = F.col("text").cast("string")
     own = F.concat(F.lit(r"(?im)^.{0,120}\Q"), host, F.lit(r"\E.{0,120}$"))
-    text = F.when((host != "") & (F.instr(F.lower(text), host) > 0), F.regexp_replace(text, own, F.lit(""))).otherwise(text)
+    # ... or a line of its own words: such a text is compared without the line and with it
+    text = F.explode(F.array_distinct(F.array(F.when((host != "") & (F.instr(F.lower(text), host) > 0), F.regexp_replace(text, own, F.lit(""))).otherwise(text), text)))
     rows = records.where(split.isin("train", *EVALUATION)).select(
         F.col(key).cast("long").alias(key), F.xxhash64(stock.site_of(F.col("source_url"), F.col("collection"))).alias("site"), (split == "train").alias("train"), text.alias("text")
     )

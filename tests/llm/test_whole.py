@@ -112,3 +112,11 @@ def test_list_sentences_vote_and_names_do_not(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, language.found(df).collect())) == [(1, "de"), (1, "en"), (3, "de")]
     assert language.segments(df.where("rid = 3")).count() == 2
+
+
+def test_lines_that_name_the_own_host_may_be_text(spark):
+    one = "Mill.example was the first site of the town that told of the wheel"
+    two = "Read more on mill.example every week."
+    urls = {0: "https://mill.example/a", 1: "https://mill.example/b", 2: "https://mill.example/c", 3: "https://race.example/d", 4: "https://mill.example/e"}
+    assert pairs_of(spark, one, one, LONG.format("nobody") + "\n" + one.replace("first", "last"), LONG.format("nobody") + "\n" + one.replace("first", "last"), urls=urls) == [(0, 1), (2, 3)]
+    assert pairs_of(spark, f"{LONG.format('she')}\n{two}", LONG.format("she"), urls=urls) == [(0, 1)]
