@@ -60,8 +60,34 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the cluster names; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """df with its lineage cut, in the shared folder that the cluster names.
+
+    Where none is set, a local session makes one of its own; on a cluster that is an error, as a machine-local folder
+    would not outlive its executor.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
     return df.checkpoint()
+
+
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df persisted until release() is called; a query that holds several results of its own releases none while they are read."""
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(df)
+    return df
+
+
+def release() -> None:
+    """Give back what the queries so far hold; call it when their results have been read or written."""
+    while _held:
+        _held.pop().unpersist()
