@@ -1,9 +1,10 @@
 """Markup residue: flat text blocks, their features, the trees that judge them, and the clean text.
 
-A text is cut into flat blocks (lines; block-level tags end a block).  A block's features are its word
-count and link density, those of its two neighbours, and how many constructs of each markup it holds
-beside look-alikes that are no markup.  Trees trained on the labelled table in ``markup_table`` decide
-which markups a block holds and which role it has; the clean text is put together from the roles.
+A text is cut into flat blocks (lines; block-level tags begin a new one).  A block's features are its word count and link
+density, those of its two neighbours, and the densities of delimiters and of shapes that look like them (SHAPES): none
+of them is a construct of a markup as such.  Trees trained on the labelled table in ``markup_table`` combine them to
+say which markups a block holds and which role it has; the clean text is written block by block from the roles, in one
+notation for headings, lists, code, tables and formulas.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 from . import markup_table, tree
 
 KINDS = ("html", "markdown", "wiki", "latex")
+DEPTH = 24  # of the trees: the table is small, and its look-alikes are told apart by few blocks each
 
 # Element names of HTML that count as tags.
 BLOCK_TAGS = (
@@ -251,19 +253,87 @@ def _size(s: str) -> int:
 
 LINKS = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>|\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]|(?<!!)\[([^\[\]]*)\]\([^()]*\)|\[https?://\S+\s+([^\]]*)\]|https?://\S+", re.I | re.S)
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "html", "markdown", "wiki", "latex", "look-alikes", "end mark", "code")
+# Delimiters and shapes that are counted in a block, each with characters of which it needs one.
+SHAPES = {
+    "element name after an angle": ("<", rf"</?(?:{_NAMES})\b"),
+    "angles around something": ("<", r"<[^<>\s][^<>]*>"),
+    "element name cut off": ("<", rf"<(?:{_NAMES})\b[^<>]*$"),
+    "slash at an angle": ("<>", r"</\w|/>"),
+    "attribute": ("=", r"\s[\w:-]+\s*=\s*[\"']"),
+    "capitals in angles": ("<", r"</?[A-Z][A-Z0-9_]+>"),
+    "spaced angle": ("<>", r"(?:^|\s)[<>]=?(?=\s|$)"),
+    "comment sign": ("<>", r"<!(?:--|\[|D)|-->|<\?xml"),
+    "ampersand to semicolon": ("&", r"&#?[A-Za-z0-9]{2,31};"),
+    "ampersand": ("&", r"&"),
+    "hashes before a space": ("#", r"^ {0,3}#{1,6}[ \t]+\S"),
+    "hash": ("#", r"#"),
+    "stars at a word": ("*", r"(?<![\w*/ ])\*\*(?=[^\W\d])|(?<=[^\W\d])\*\*(?![\w*/ ])|(?:^|(?<=\s))\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?=\s|$)"),
+    "two stars": ("*", r"\*\*"),
+    "star": ("*", r"\*"),
+    "two underscores at a word": ("_", r"(?<![\w\\])__(?=[^\s_a-z])|(?<![\w\\])__(?=[a-z]+[^\w\n]+[^\n]*__)"),
+    "underscore": ("_", r"_"),
+    "two tildes": ("~", r"~~(?=[^\s~])[^~\n]*~~"),
+    "ticks around something": ("`", r"(?<![`\\])(`{1,2})(?!`)([^`\n]+?)\1(?!`)"),
+    "fence": ("`~", r"^[ \t]{0,3}(?:`{3,}|~{3,})"),
+    "bracket": ("[", r"\["),
+    "bracket to parenthesis": ("[", r"\]\("),
+    "bracket to bracket": ("[", r"(?<!\w)\[[^\[\]\n]+\]\["),
+    "figure in brackets": ("[", r"\w\[|\[\d*\]"),
+    "bracket and colon": ("[", r"^ {0,3}\[[^\[\]\n]+\]:\s*\S"),
+    "tick box": ("[", r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]"),
+    "two brackets before a word": ("[", r"(?<![\w)\]])\[\[(?=[^\s\d\[\]])"),
+    "two brackets after a word": ("]", r"(?<=[\w)])\]\](?![\w(\[])"),
+    "address in brackets": ("[", r"\[(?:https?:)?//[^\s\]\[]"),
+    "braces before a name": ("{", r"(?<![\w}^_{$\\])\{\{(?=[^\W\d])"),
+    "braces at an end": ("}", r"(?<=[^\s{}\\])\}\}(?![\w}])"),
+    "bar behind braces": ("{", r"\{\{[^\W\d][\w ]*\|"),
+    "brace": ("{}", r"[{}]"),
+    "two apostrophes": ("'", r"(?<!')'{2,5}(?!')"),
+    "three apostrophes": ("'", r"(?<!')'{3}(?!')"),
+    "equals at both ends": ("=", r"^={2,6}[ \t]*[^=\n].*={2,6}[ \t]*$"),
+    "run of equals": ("=", r"^[ \t]{0,3}={3,}[ \t]*$"),
+    "run of dashes": ("-*_", r"^[ \t]{0,3}(?:-{3,}|(?:\*[ \t]*){3,}|_{3,})[ \t]*$"),
+    "bar": ("|", r"\|"),
+    "bars at both ends": ("|", r"^[ \t]*\|[^\n|]*\S.*\|[ \t]*$"),
+    "bar at the start with a sign": ("|", r"^[ \t]*(?:\{\||\|\}|\|-)"),
+    "dashes between bars": ("|", r"^[ \t|]*:?-{2,}:?[ \t]*\||\|[ \t]*:?-{2,}:?[ \t|]*$"),
+    "angle at the start": (">", r"^ {0,3}>[ \t]?(?=\S)"),
+    "address in angles": ("<", r"<(?:https?|ftp|mailto):[^\s<>]+>"),
+    "word between underscores": ("_#", r"__(?:NO)?[A-Z]{3,}__|#(?:REDIRECT|WEITERLEITUNG)\b"),
+    "backslash before letters": ("\\", r"\\[A-Za-z]{2,}"),
+    "letters, backslash and brace": ("\\", r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{"),
+    "path": ("\\", r"\b[A-Za-z]:\\|\\\w+\\|\\\w+\.\w"),
+    "backslash and bracket": ("\\", r"(?<!\\)\\[\[\]()](?![\w\\])|\\\(.+?\\\)|\\\[.+?\\\]"),
+    "dollars around signs": ("$", r"(?<![\\$\w])\$(?=[^\s$\d]|\d[^$\n ]*[\\^_=+])(?=[^$\n]*[\\^_={}+<>*/|-]|\s*[A-Za-z](?:\([^()$]*\))?\s*\$)[^$\n]*?[^\s$\\]\$(?![\d$])"),
+    "dollar": ("$", r"\$"),
+    "two dollars": ("$", r"\$\$"),
+    "dollar before a figure": ("$", r"\$ ?\d"),
+    "caret or underscore and brace": ("^_", r"[\^_]\{"),
+    "list mark": ("-*+.)", r"^[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]+\S"),
+    "code sign": ("{};=(", r"[{};]\s*$|\w\([^\n]*\):?\s*$|(?<![=<>!])=(?!=)"),
+    "code word": ("abcdefghijklmnopqrstuvwxyzS", r"^\s*(?:def|class|for|while|return|import|from|function|const|let|SELECT|INSERT|UPDATE)\b"),
+}
+UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+COMPILED = [(frozenset(signs), re.compile(pattern, re.I if "element name" in name else 0)) for name, (signs, pattern) in SHAPES.items()]
+BASE = ("words", "link density", "words before", "link density before", "words after", "link density after", "end mark", "in code", "in a table")
+FEATURES = (*BASE, *SHAPES)
 
 
 def features(blocks: list[tuple[str, str]]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)), np.float32)
     for i, (s, inside) in enumerate(blocks):
+        s = UNSEEN.sub("", s)
         n = _size(TAG.sub(" ", s) if "<" in s else s)
         linked = sum(_size(next((g for g in m.groups() if g), m[0])) for m in LINKS.finditer(s)) if "[" in s or "<a" in s.lower() or "://" in s else 0
         x[i, 0], x[i, 1] = n, min(1.0, linked / max(n, 1))
-        x[i, 6:10] = constructs(s, inside)
-        x[i, 10] = sum(1 for _ in DECOY.finditer(s))
-        x[i, 11] = s.rstrip()[-1:] in ".!?。！？…:;\"”»)"
-        x[i, 12] = inside == "code"
+        x[i, 6] = s.rstrip()[-1:] in ".!?。！？…:;\"”»)"
+        x[i, 7] = inside == "code"
+        x[i, 8] = inside == "wikitable"
+        if inside != "code":
+            held = set(s)
+            for j, (signs, pattern) in enumerate(COMPILED, len(BASE)):
+                if not signs.isdisjoint(held):
+                    x[i, j] = sum(1 for _ in pattern.finditer(s))
     if len(blocks) > 1:
         x[1:, 2:4] = x[:-1, 0:2]
         x[:-1, 4:6] = x[1:, 0:2]
@@ -283,7 +353,7 @@ def trees() -> tuple[list, list]:
             roles.append(markup_table.ROLES.index(role))
             kinds.append([k in held for k in KINDS])
     x, k = np.concatenate(xs), np.array(kinds, int)
-    return [tree.fit(x, k[:, i], 2) for i in range(4)], tree.fit(x, np.array(roles), len(markup_table.ROLES))
+    return [tree.fit(x, k[:, i], 2, DEPTH) for i in range(4)], tree.fit(x, np.array(roles), len(markup_table.ROLES), DEPTH)
 
 
 def judge(texts: list[str | None]) -> list[tuple[set[str], list[str], list[tuple[str, str]]]]:
@@ -294,7 +364,7 @@ def judge(texts: list[str | None]) -> list[tuple[set[str], list[str], list[tuple
         return [(set(), [], []) for _ in texts]
     x = np.concatenate(parts)
     by_kind, by_role = trees()
-    held = np.stack([(tree.predict(t, x) == 1) & (x[:, 6 + i] > 0) for i, t in enumerate(by_kind)], 1)
+    held = np.stack([tree.predict(t, x) == 1 for t in by_kind], 1)
     role = tree.predict(by_role, x)
     out, at = [], 0
     for b in all_blocks:
@@ -310,97 +380,198 @@ def _hold(kept: list[str], s: str) -> str:
     return f"\ue000{len(kept) - 1}\ue001"
 
 
-def clean(text: str, drop_made: bool = False, drop_code: bool = False) -> str:
-    """The text without its markup: headings stand alone on their line, list items keep a dash, table rows
-    keep their cells between bars, code and formulas stay as they are.  With drop_made also code, formulas,
-    tables, references and picture captions go, which leaves the running text for comparisons.  With drop_code only
-    code and formulas go, and all other words stay."""
+HELD = re.compile("\ue000(\\d+)\ue001")
+
+
+def _release(kept: list[str], t: str) -> str:
+    while HELD.search(t):
+        t = HELD.sub(lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", t)
+    return t
+
+
+def _named(t: str) -> set[str]:
+    """Names of the reference links that the text defines."""
+    return {m[1].casefold() for m in MD_DEF.finditer(t)}
+
+
+def is_formula(m: re.Match) -> bool:
+    return m[4] is None or bool(re.search(r"[\\^_={}+<>*/|-]|^\s*[A-Za-z](?:\([^()]*\))?\s*$", m[4]))
+
+
+def plain_entity(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[1] is None or m[1] + ";" in html.entities.html5 else m[0]
+
+
+# Name spaces of wiki pages that are no words of the text.
+WIKI_ASIDE = re.compile(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|File|Image|Datei|Fichier|Archivo|分类|文件|カテゴリ|ファイル):[^\[\]\n]*\]\]", re.I)
+TEX_ASIDE = re.compile(r"\\(?:bibliography\w*|includegraphics|usepackage|documentclass|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}")
+TEX_NAMED = re.compile(r"\\(?:label|cite\w*|ref|eqref|pageref)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
+TEX_FILLED = re.compile(r"(?<![A-Za-z]:)\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
+TEX_WORD = re.compile(r"(?<![\w:\\/.])\\[A-Za-z]{2,}\*?(?![\w\\:/.])[ \t]?|\\[\[\]()](?!\w)")
+
+
+def inline(t: str, kept: list[str], names: set[str]) -> str:
+    """One block without the signs of inline markup; code and formulas keep their delimiters, entities are read last."""
+    if "`" in t:
+        t = TICKS.sub(lambda m: _hold(kept, m[0]), t)
+    if "<" in t:
+        t = re.sub(r"<(?:code|kbd|tt|samp)\b[^<>]*>([^<>`]+)</(?:code|kbd|tt|samp)\s*>", lambda m: _hold(kept, f"`{html.unescape(m[1])}`"), t, flags=re.I)
+    if "\\" in t or "$" in t:
+        t = TEX_MATH.sub(lambda m: _hold(kept, m[0]) if is_formula(m) else m[0], t)
+    if "<" in t:
+        t = AUTOLINK.sub(r"\1", t)
+        t = re.sub(r"<img\b[^<>]*?\balt\s*=\s*[\"']([^\"'<>]*)[\"'][^<>]*>", r"\1", t, flags=re.I)
+        t = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", t, flags=re.I)
+        t = TAG.sub(lambda m: "\n" if m[2].lower() in BLOCK_TAGS and m[2].lower() not in ("td", "th") else "", t)
+    if "<" in t or "-->" in t:
+        t = CUT_TAG.sub("", t)
+    if "\\" in t:
+        t = TEX_NAMED.sub(r"[\1]", TEX_ASIDE.sub("", t))
+        t = TEX_ENV.sub("", t)
+        while (new := TEX_FILLED.sub(r"\1", t)) != t:
+            t = new
+        t = TEX_WORD.sub("", t)
+    if "{{" in t:
+        t = WIKI_TEMPLATE.sub("", t)
+    if "[" in t:
+        t = WIKI_LINK.sub(lambda m: m[2] or m[1], WIKI_ASIDE.sub("", t))
+        t = WIKI_URL.sub(lambda m: m[1] or "", t)
+        t = MD_LINK.sub(r"\2", t)
+        t = MD_REF.sub(lambda m: m[2] if (m[3] or m[2]).casefold() in names else m[0], t)
+    if "''" in t:
+        t = WIKI_QUOTES.sub(lambda m: m[2] or "", t)
+    if "*" in t or "__" in t or "~~" in t:
+        for _ in range(2):
+            t = MD_BOLD.sub(r"\2", t)
+        t = MD_UNDER.sub(lambda m: m[0] if re.fullmatch(r"[a-z0-9_]+", m[1]) else m[1], t)
+        t = MD_STRIKE.sub(r"\1", t)
+    while "&" in t and (new := ENTITY.sub(plain_entity, t)) != t:
+        t = new
+    return t.replace("\xa0", " ").strip()
+
+
+# A block of its own begins before an opening and after a closing tag of these.
+SPLIT_TAG = "|".join(sorted({*BLOCK_TAGS} - {"td", "th", "br", "body", "head", "html"}, key=len, reverse=True))
+BEFORE_TAG, AFTER_TAG = re.compile(rf"(?<=\S)[ \t]*(?=<(?:{SPLIT_TAG})(?=[\s/>]))", re.I), re.compile(rf"(</(?:{SPLIT_TAG})\s*>)[ \t]*(?=\S)", re.I)
+LEVEL = re.compile(r"^\s*(?:(#{1,6})\s+(.*?)\s*#*\s*$|(={2,6})\s*([^=].*?)\s*=+\s*$|<h([1-6])\b[^<>]*>(.*)$|\\(sub)?(sub)?(?:section|chapter|title)\*?\{([^{}\n]*)\}(.*)$)", re.I | re.S)
+MARK = re.compile(r"^([ \t]*)(?:([-*+])|(\d{1,3})[.)]|(<li\b[^<>]*>)|(\\item)\b)[ \t]*(\[[ xX]\][ \t])?", re.I)
+ENUMERATION = re.compile(r"<(/?)(ol|ul)\b|\\(begin|end)\{(enumerate|itemize)\}", re.I)
+
+
+def clean(text: str) -> str:
+    """The text without its markup, written block by block from the roles that the tree gives.
+
+    One notation is used for structure: headings begin with as many # as their level (a title set apart by nothing but
+    its place stays as it is), items of lists with "- " or their number, rows of tables have their cells between bars,
+    code stands verbatim in fences or ticks, formulas keep their delimiters.  All other signs go, their words stay.
+    """
     if not needs_look(text):
         return text
-    drop_code = drop_code or drop_made
     kept: list[str] = []
     t = text.replace("\ue000", "").replace("\ue001", "")
-    if "&" in t:
-        for _ in range(4):
-            new = ENTITY.sub(lambda m: html.unescape(m[0]) if m[1] is None or m[1] + ";" in html.entities.html5 else m[0], t)
-            if new == t:
-                break
-            t = new
-        t = t.replace("\xa0", " ")
+    names = _named(t)
+    parts, at = [], 0
+    for start, a, b, end in fences(t) if "```" in t or "~~~" in t else ():
+        opening = t[start:a].strip().lstrip("`~").strip()
+        parts += [t[at:start], _hold(kept, f"```{opening}\n" + t[a:b].rstrip("\n") + "\n```") + ("\n" if t[end - 1 : end] == "\n" else "") if b > a else ""]
+        at = end
+    t = "".join([*parts, t[at:]])
+    if "<" in t:
+        t = COMMENT.sub("", SCRIPT.sub("", t))
+        t = PRE.sub(lambda m: "\n" + _hold(kept, "```\n" + html.unescape(TAG.sub("", m[1])).strip("\n") + "\n```") + "\n", t)
+        t = AFTER_TAG.sub(r"\1\n", BEFORE_TAG.sub("\n", t))
+    lines = t.split("\n")
+    blocks, depth = [], False
+    for x in lines:
+        depth = depth or x.lstrip().startswith("{|")
+        blocks.append((x, "wikitable" if depth else ""))
+        depth = depth and not x.lstrip().startswith("|}")
+    live = [i for i, x in enumerate(lines) if x.strip()]
+    roles = dict(zip(live, (markup_table.ROLES[r] for r in tree.predict(trees()[1], features([blocks[i] for i in live]))))) if live else {}
+    out: list[str] = []
+    ordered: list[int] = []  # numbers reached in the lists that are open; -1 for lists without numbers
+    for i, x in enumerate(lines):
+        role = roles.get(i, "")
+        for m in ENUMERATION.finditer(x):
+            opening = not m[1] and m[3] != "end"
+            if opening:
+                ordered.append(0 if (m[2] or m[4]).lower() in ("ol", "enumerate") else -1)
+            elif ordered:
+                ordered.pop()
+        if not role:
+            out.append("")
+        elif HELD.fullmatch(x.strip()):
+            out.append(x.strip())
+        elif MD_SPLIT.search(x) or MD_DEF.search(x) or FENCE_LINE.search(x):
+            continue
+        elif MD_RULE.search(x):
+            if out and out[-1] and x.strip()[0] in "=-" and not out[-1].startswith(("#", "- ", "|", "\ue000")):
+                out[-1] = ("# " if x.strip()[0] == "=" else "## ") + out[-1]
+        elif blocks[i][1]:
+            cells = [inline(c, kept, names) for c in re.split(r"\|\||!!", re.sub(r"^\s*[|!][-+}]?", "", x))] if not re.match(r"\s*(?:\{\||\|-|\|\})", x) else []
+            if any(cells):
+                out.append("| " + " | ".join(cells) + " |")
+        elif role == "code" and not TAG.search(x) and (x.lstrip().startswith("#") or not LEVEL.match(x)):
+            out.append(x.rstrip())
+        elif m := LEVEL.match(x):
+            words = inline(m[2] or m[4] or m[6] or m[9] or "", kept, names)
+            level = len(m[1] or "") or len(m[3] or "") or int(m[5] or 0) or 1 + bool(m[7]) + bool(m[8])
+            if words:
+                out.append("#" * level + " " + words)
+            if m[10] and (rest := inline(m[10], kept, names)):
+                out.append(rest)
+        elif m := MARK.match(x):
+            words = inline(x[m.end() :], kept, names)
+            mark = "- "
+            if m[3]:
+                mark = m[3] + ". "
+            elif (m[4] or m[5]) and ordered and ordered[-1] >= 0:
+                ordered[-1] += 1
+                mark = f"{ordered[-1]}. "
+            if words:
+                out.append(m[1] + mark + (m[6] or "") + words)
+        elif role == "formula" and not TAG.search(x) and not inline(TEX_MATH.sub("", x), [], names).strip(" .,;"):
+            out.append(x.rstrip())
+        elif role == "table" and ("|" in x or re.search(r"<t[rdh]\b", x, re.I)):
+            cells = inline(x.strip().strip("|"), kept, names).split("|")
+            if any(c.strip() for c in cells):
+                out.append("| " + " | ".join(c.strip() for c in cells) + " |")
+        else:
+            words = inline(MD_QUOTE.sub("", x), kept, names)
+            if words or role not in ("rule", "stock", "table", "list") and not TAG.search(x):
+                out.append(words)
+    t = re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in out)).strip("\n")
+    return _release(kept, t)
+
+
+def bare(text: str, drop_code: bool = False) -> str:
+    """All words of a text without the signs of markup, for comparisons; with drop_code without code and formulas."""
+    if not needs_look(text):
+        return text
+    kept: list[str] = []
+    t = text.replace("\ue000", "").replace("\ue001", "")
+    names = _named(t)
     if "```" in t or "~~~" in t:
         parts, at = [], 0
         for start, a, b, end in fences(t):
             parts += [t[at:start], "" if drop_code or end == a else _hold(kept, t[a:b].rstrip("\n")) + "\n"]
             at = end
-        t = "".join([*parts, t[at:]])
-        t = FENCE_LINE.sub("", t)
-    if "<" in t or "-->" in t:
+        t = FENCE_LINE.sub("", "".join([*parts, t[at:]]))
+    if "<" in t:
         t = COMMENT.sub("", SCRIPT.sub("", t))
-        t = PRE.sub(lambda m: "\n" + ("" if drop_code else _hold(kept, TAG.sub("", m[1]))) + "\n", t)
-        if drop_code and not drop_made:
+        t = PRE.sub(lambda m: "\n" + ("" if drop_code else _hold(kept, html.unescape(TAG.sub("", m[1])))) + "\n", t)
+        if drop_code:
             t = re.sub(r"<code\b[^<>]*>[^<>]*</code\s*>", " ", t, flags=re.I)
-        if drop_made:
-            t = re.sub(r"<(table|h1|ref|figure)\b[^<>]*>.*?</\1\s*>|<(kbd|sup|sub|code)\b[^<>]*>[^<>]*</\2\s*>|<a\b[^<>]*>[^<>]*</a\s*>", "\n", t, flags=re.I | re.S)
-            t = re.sub(r"<li\b[^<>]*>[^<>\n]*", "\n", t, flags=re.I)
-        t = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", " | ", t, flags=re.I)
-        t = re.sub(r"<li\b[^<>]*>", "\n- ", t, flags=re.I)
-        t = TAG.sub(lambda m: "\n" if m[2].lower() in BLOCK_TAGS else "", t)
-        t = CUT_TAG.sub("", t)
-        t = AUTOLINK.sub(r"\1", t)
     if "`" in t:
         t = TICKS.sub(lambda m: "" if drop_code else _hold(kept, m[2]), t)
     if "\\" in t or "$" in t:
-        t = TEX_MATH.sub(lambda m: ("" if drop_code else _hold(kept, (m[1] or m[2] or m[3] or m[4]).strip())) if m[4] is None or re.search(r"[\\^_={}+<>*/|-]|^\s*\w", m[4]) else m[0], t)
-        if "\\" in t:
-            if drop_made:
-                t = re.sub(r"\\(?:title|author|date|label|cite\w*|ref|emph|textbf|texttt|includegraphics|caption|item)\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\}|[ \t]+\S*[^\n]*(?<!\{))?", "", t)
-            t = re.sub(r"\\(?:label|cite\w*|ref|eqref|pageref|bibliography\w*|includegraphics|usepackage|documentclass|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", t)
-            t = re.sub(r"\\item\b[ \t]*", "- ", t)
-            t = TEX_ENV.sub("", t)
-            for _ in range(3):
-                new = re.sub(r"(?<![A-Za-z]:)\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", t)
-                if new == t:
-                    break
-                t = new
-            t = re.sub(r"(?<![\w:\\/.])\\[A-Za-z]{2,}\*?(?![\w\\:/.])[ \t]?|\\[\[\]()](?!\w)", "", t)
-    if "{|" in t or "|}" in t or "|-" in t:
-        t = re.sub(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", lambda m: "" if drop_made else "\n".join(" | ".join(c.strip() for c in re.split(r"\|\||!!", x.lstrip("|! \t"))) for x in m[0].split("\n")[1:] if x.strip() and not re.match(r"\s*\|[-}]", x)) + "\n", t, flags=re.M | re.S)
-        t = re.sub(r"^[ \t]*(?:\|\}|\{\|)[^\n]*$", "", t, flags=re.M)
-    if "{{" in t:
-        t = WIKI_TEMPLATE.sub("", t)
-    if "[[" in t:
-        t = re.sub(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|File|Image|Datei|Fichier|Archivo|分类|文件|カテゴリ|ファイル):[^\[\]\n]*\]\]", "", t, flags=re.I)
-        t = WIKI_LINK.sub(lambda m: "" if drop_made else m[2] or m[1], t)
-    if "''" in t:
-        t = WIKI_QUOTES.sub(lambda m: m[2] or "", t)
-    if "[" in t:
-        t = WIKI_URL.sub(lambda m: "" if drop_made else m[1] or "", t)
-        if drop_made:
-            t = re.sub(r"(?:\bSee |\bSiehe |\bVoir |\bVéase |参见|参照：?)\[[^\[\]\n]+\]\[[^\[\]\n]*\][.。]?", "", t)
-        t = MD_LINK.sub(lambda m: "" if m[1] or drop_made else m[2], t)
-        t = MD_DEF.sub("", t)
-        t = MD_REF.sub(lambda m: "" if m[1] or drop_made else m[2], t)
-    if "*" in t or "__" in t or "~~" in t:
-        for _ in range(2):
-            t = MD_BOLD.sub(lambda m: m[2], t)
-        t = MD_UNDER.sub(lambda m: m[0] if re.fullmatch(r"[a-z0-9_]+", m[1]) else "" if drop_made else m[1], t)
-        t = MD_STRIKE.sub(lambda m: "" if drop_made else m[1], t)
-        t = re.sub(r"^([ \t]*)[*+][ \t]+(?:\[[ xX]\][ \t])?", (lambda m: "\ue002") if drop_made else r"\1- ", t, flags=re.M)
-        if "\ue002" in t:
-            t = re.sub(r"\ue002[^\n]*", "", t)
-    if "==" in t:
-        t = WIKI_HEAD.sub(lambda m: m[2], t)
-    if "#" in t:
-        t = MD_HEAD.sub(lambda m: m[2], t)
+        t = TEX_MATH.sub(lambda m: m[0] if not is_formula(m) else "" if drop_code else _hold(kept, (m[1] or m[2] or m[3] or m[4]).strip()), t)
+        t = re.sub(r"\\item\b[ \t]*", "- ", t)
     if "|" in t:
-        t = MD_SPLIT.sub("", t)
-        t = MD_ROW.sub(lambda m: "" if drop_made else " | ".join(x.strip() for x in m[0].strip().strip("|").split("|")), t)
-    if "---" in t or "===" in t or "***" in t:
-        t = MD_RULE.sub("", t)
-    if ">" in t:
-        t = MD_QUOTE.sub("", t)
+        t = re.sub(r"^[ \t]*(?:\{\||\|\}|\|-)[^\n]*$", "", MD_SPLIT.sub("", t), flags=re.M)
+        t = re.sub(r"^[ \t]*\|(?!\|)|\|[ \t]*$", "", t, flags=re.M)
+    t = MD_DEF.sub("", t) if names else t
+    t = MD_QUOTE.sub("", MD_HEAD.sub(r"\2", WIKI_HEAD.sub(r"\2", MD_RULE.sub("", t))))
+    t = inline(t, kept, names)
     t = re.sub(r"[ \t]+(?=\n|$)", "", re.sub(r"\n{3,}", "\n\n", t)).strip("\n")
-    for _ in range(2):
-        if "\ue000" in t:
-            t = re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", t)
-    return t
+    return _release(kept, t)
