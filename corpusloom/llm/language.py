@@ -137,14 +137,13 @@ SENTENCES = re.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？\n])")
 
 
 def without_code(text: str) -> str:
-    return markup.clean(text, drop_code=True)
+    return markup.bare(text, drop_code=True)
 
 
 def sentences(text: str) -> str:
-    """The running text and what else markup holds in sentences: names in links, titles and lists have no vote where
-    the text has others."""
-    whole, plain = without_code(text), {x.strip() for x in SENTENCES.split(overlap.running(text))}
-    kept = "".join(x for x in SENTENCES.split(whole) if x.strip() in plain or _sentence(x))
+    """The words of the text in sentences; names in links, titles and lists have no vote where the text has sentences."""
+    whole = without_code(text)
+    kept = "\n".join(x.strip() for x in SENTENCES.split(whole) if _sentence(x))
     return kept if any(c.isalpha() for c in kept) else whole
 
 
@@ -167,7 +166,7 @@ def languages(records: DataFrame, key: str = "rid") -> DataFrame:
         labels, conf = label_rows(*prepared(b))
         return pa.RecordBatch.from_arrays([b.column(key), pa.array([[CODES[x] for x in v] for v in labels], pa.list_(pa.string())), pa.array(conf)], names=[key, "languages", "confidence"])
 
-    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, languages array<string>, confidence double", limit=READ)
+    return map_text(stock.with_stock(records, stock.with_site(records, key), key).select(key, "text", "stock_keys"), run, f"{key} long, languages array<string>, confidence double", limit=READ)
 
 
 def segments(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -184,7 +183,7 @@ def segments(records: DataFrame, key: str = "rid") -> DataFrame:
         first = np.searchsorted(row, row[ok], "left")
         return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row[ok])), pa.array((ok - first + 1).astype(np.int32)), text, pa.array([CODES[x] for x in lang[ok]]), pa.array(sure[ok].astype(float))], names=[key, "segment_no", "segment", "lang_code", "confidence"])
 
-    return map_text(stock.with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, segment_no int, segment string, lang_code string, confidence double", limit=READ)
+    return map_text(stock.with_stock(records, stock.with_site(records, key), key).select(key, "text", "stock_keys"), run, f"{key} long, segment_no int, segment string, lang_code string, confidence double", limit=READ)
 
 
 def found(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -206,5 +205,4 @@ def found(records: DataFrame, key: str = "rid") -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), pa.array(code)], names=[key, "lang_code"])
 
     said = records.select(F.col(key).cast("long").alias(key), code_column(F.col("language")).alias("said"), F.xxhash64(stock.site_of(F.col("source_url"), F.col("collection"))).alias("site"), F.col("text").cast("string").alias("text"))
-    by_site = stock.stock_of(records, key)
-    return map_text(said.join(by_site, "site", "left").select(key, "said", "text", "stock_keys"), run, f"{key} long, lang_code string", limit=READ)
+    return map_text(stock.with_stock(records, said, key).select(key, "said", "text", "stock_keys"), run, f"{key} long, lang_code string", limit=READ)

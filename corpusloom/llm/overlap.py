@@ -1,50 +1,44 @@
 """Problem 3: records of the evaluation splits that recur, exactly or nearly, in the training split.
 
-Texts are compared as sequences of words (single characters for Han and kana) without stock lines,
-markup, case, spacing and punctuation.  Equal sequences form a class; classes are joined by edit distance:
-an evaluation sequence of L tokens is cut into k + 1 windows, of which at least one survives any k edits,
-so a training sequence within k edits holds one of them at an allowed position.  Candidates that pass the
-length, position and signature tests are verified with a banded dynamic programme over whole batches.
+Texts are compared as sequences of words (single characters for Han and kana) without stock lines, the signs of
+markup, case, spacing and punctuation; words that markup holds (code, tables, lists, links) are compared like all
+others.  Equal sequences form a class; classes are joined by edit distance: of k edits at most one falls into each of
+k + 1 disjoint windows of an evaluation sequence, so a training sequence within k edits holds one of them at an allowed
+position.  Candidates that pass the length, position and signature tests are verified with a banded dynamic programme
+over whole batches.  All pairs within the bound are found, whichever windows are chosen; how common windows are decides
+only the work.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import held
 from . import codepoints as C
 from . import markup, stock
 from .textio import map_text
 
-SHARE = 8  # one token in so many may differ ...
-CUT = 10  # ... and every pair is found of which one in so many differs, more only where the edits lie close together
+SHARE = 8  # of the shorter text's tokens one in so many may differ
 EVALUATION = ("dev", "test", "validation")
 BITS_MOST, BITS_PER_KEY = 1 << 27, 40
 GRAM, COUNTERS, COUNTERS_MOST = 3, 1 << 19, 1 << 22  # how common a stretch of text is, is read off a sketch of so many counters
 LENGTHS, RARE = (3, 5, 7, 9, 12, 16), 48  # lengths that a window may have; how often a rare stretch may occur beyond the sketch's noise
+NOISE_MOST = 64  # a sketch whose usual counter is beyond this tells nothing: windows are then as long as they can be
+HOT, HOT_LIST = 1 << 14, 1 << 20  # a window in more training texts is split; so many of such windows are broadcast
 SIGNATURE = [f"sig_{i}" for i in range(2)]
 SIGNATURE_TYPES = ", ".join(f"{x} long" for x in SIGNATURE)
 
-LEAD = re.compile(r"\A\s*(?:# [^\n]+|'''[^\n]+?'''|\*\*[^*\n]+\*\*|\\title\{[^\n]+\}|[^\n]+\n={3,})[ \t]*\n(?=\s*\S)")
-
-
-def running(text: str) -> str:
-    """Without markup and what only the markup adds: a title line at the start, code, tables, references."""
-    return markup.clean(LEAD.sub("", text), True)
-
 
 def whole(text: str) -> str:
     """Without the signs of markup, but with all its words; a text of nothing else stays as it is."""
-    t = markup.clean(text)
+    t = markup.bare(text)
     return t if any(c.isalnum() for c in t) else text
 
 
-def running_text(cp: np.ndarray, off: np.ndarray, rewrite=running) -> tuple[np.ndarray, np.ndarray]:
+def running_text(cp: np.ndarray, off: np.ndarray, rewrite=whole) -> tuple[np.ndarray, np.ndarray]:
     """The texts rewritten where they hold a sign of markup."""
     rows = marked(cp, off)
     if not len(rows):
@@ -87,20 +81,15 @@ def tokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def allowed(n: Column | np.ndarray):
+    """Edits between a text of n tokens and one that is no shorter."""
     return n // SHARE
 
 
-def most(n):
-    """Edits to reckon with for an evaluation text of n tokens: its partner may be a little longer."""
-    return n // (CUT - 1)
-
-
 def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
     """(key, train, cls, n, signature, tokens) of the records of the training and evaluation splits that have words.
 
-    A record whose text holds markup comes twice where that makes a difference: as running text and with all words.
+    A record whose text names its own host in a short line comes twice: with and without such lines.
     """
-    by_site = stock.stock_of(records, key)
     split = F.lower(F.trim(F.col("split")))
     # a short line that names the record's own host is a line of the site, however few rows the site has
     host = F.regexp_extract(stock.site_of(F.col("source_url"), F.lit(None).cast("string")), r"^host:(.+)$", 1)
@@ -111,23 +100,15 @@ def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
     rows = records.where(split.isin("train", *EVALUATION)).select(
         F.col(key).cast("long").alias(key), F.xxhash64(stock.site_of(F.col("source_url"), F.col("collection"))).alias("site"), (split == "train").alias("train"), text.alias("text")
     )
-    rows = rows.join(by_site, "site", "left").select(key, "train", "text", "stock_keys")
+    rows = stock.with_stock(records, rows, key).select(key, "train", "text", "stock_keys")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         cp, off = C.explode(b.column("text"))
         cp, off, _ = C.unify(cp, off)
         cp, off = stock.drop_lines(cp, off, b.column("stock_keys"))
-        rows = marked(cp, off)
         tok, at = tokens(*running_text(cp, off))
-        of = np.arange(b.num_rows)
-        if len(rows):
-            more, ends = tokens(*running_text(*C.pick(cp, off, rows), whole))
-            tok, at, of = np.concatenate([tok, more]), np.concatenate([at, at[-1] + ends[1:]]), np.concatenate([of, rows])
         n = np.diff(at)
-        cls = C.hash_runs(tok.view(np.uint32), at[:-1], at[1:]).view(np.int64)
-        again = np.zeros(len(n), bool)
-        again[b.num_rows :] = cls[b.num_rows :] == cls[of[b.num_rows :]]
-        keep = np.flatnonzero((n > 0) & ~again)
+        keep = np.flatnonzero(n > 0)
         if not len(keep):
             return None
         cls = C.hash_runs(tok.view(np.uint32), at[keep], at[keep + 1]).view(np.int64)
@@ -139,7 +120,7 @@ def comparable(records: DataFrame, key: str = "rid") -> DataFrame:
             sig.append((seen[at[keep + 1]] ^ seen[at[keep]]).view(np.int64))
         data = np.ascontiguousarray(tok).tobytes()
         packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(data)]).take(pa.array(keep))
-        take = pa.array(of[keep])
+        take = pa.array(keep)
         return pa.RecordBatch.from_arrays(
             [b.column(key).take(take), b.column("train").take(take), pa.array(cls), pa.array(n[keep].astype(np.int32)), *map(pa.array, sig), packed],
             names=[key, "train", "cls", "n", *SIGNATURE, "tokens"],
@@ -190,8 +171,9 @@ def gram_counts(classes: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
 
 def rare_count(common: np.ndarray) -> int:
-    """A count that still is rare: stretches that share a counter add the noise that most counters show."""
-    return RARE + 3 * int(np.median(common)) if len(common) else RARE
+    """A count that still is rare: stretches that share a counter add the noise that most counters show; -1 where noise is all there is."""
+    noise = int(np.median(common)) if len(common) else 0
+    return RARE + 3 * noise if noise <= NOISE_MOST else -1
 
 
 def cut(tok: np.ndarray, off: np.ndarray, common: np.ndarray, rare_most: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +185,7 @@ def cut(tok: np.ndarray, off: np.ndarray, common: np.ndarray, rare_most: int = R
     """
     n = np.diff(off)
     rows = len(n)
-    g = most(n) + 1
+    g = allowed(n) + 1
     at, row = _ranges(off[:-1], np.maximum(n - GRAM + 1, 0))
     counts = np.full(len(tok) + 1, 1 << 30, np.int64)
     counts[at] = common[_window_hash(tok, at, GRAM).astype(np.int64) & (len(common) - 1)]
@@ -362,7 +344,7 @@ def verified(candidates: DataFrame) -> DataFrame:
             ta, oa = _unpack(b.column("tokens_a"))
             tb, ob = _unpack(b.column("tokens_b"))
             na, nb = np.diff(oa), np.diff(ob)
-            k = allowed(np.maximum(na, nb))
+            k = allowed(np.minimum(na, nb))
             order = np.argsort(np.maximum(na, nb), kind="stable")
             edits = np.full(b.num_rows, -1, np.int64)
             at = 0
@@ -387,14 +369,28 @@ def verified(candidates: DataFrame) -> DataFrame:
     return candidates.mapInArrow(run, "cls_a long, cls_b long, edits int")
 
 
+def split_hot(e: DataFrame, t: DataFrame, hot: int = HOT, listed: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the window join with a salt: windows in more than hot training texts are split into parts of that size.
+
+    The evaluation side of such a window is repeated for each part, so no task gets a hot window whole.
+    """
+    counts = held(t.groupBy("seg").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("seg", F.ceil(F.col("k") / hot).cast("int").alias("parts")))
+    if counts.limit(listed + 1).count() <= listed:
+        counts = F.broadcast(counts)
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    e = e.join(counts, "seg", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    t = t.join(counts, "seg", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
+    return e, t
+
+
 def close_classes(rows: DataFrame) -> DataFrame:
     """(cls_a of evaluation, cls_b of training, edits) of different texts within the allowed edits."""
     classes = rows.groupBy("cls").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIGNATURE], F.first("tokens").alias("tokens"), F.max("train").alias("in_train"), F.min("train").alias("all_train"))
-    classes = classes.persist(StorageLevel.MEMORY_AND_DISK)
-    ev = classes.where(~F.col("all_train") & (F.col("n") >= CUT - 1))
-    tr = classes.where(F.col("in_train") & (F.col("n") >= CUT - 2))  # may be one token shorter
+    classes = held(classes)
+    ev = classes.where(~F.col("all_train") & (F.col("n") >= SHARE))  # of fewer tokens none may differ
+    tr = classes.where(F.col("in_train") & (F.col("n") >= SHARE))
     share = rows.sparkSession.sparkContext.broadcast
-    sums = classes.agg(F.sum(F.when(~F.col("all_train"), F.floor(F.col("n") / (CUT - 1)) + 1)).alias("k"), F.sum(F.when(F.col("in_train"), F.col("n"))).alias("t")).first()
+    sums = classes.agg(F.sum(F.when(~F.col("all_train"), F.floor(F.col("n") / SHARE) + 1)).alias("k"), F.sum(F.when(F.col("in_train"), F.col("n"))).alias("t")).first()
     keys, counters = sums.k or 0, COUNTERS
     while counters < min(COUNTERS_MOST, (sums.t or 0) // 64):
         counters *= 2
@@ -404,17 +400,19 @@ def close_classes(rows: DataFrame) -> DataFrame:
     while bits < min(BITS_MOST, BITS_PER_KEY * keys):
         bits *= 2
     field = share(seen_bits(segs, bits))
-    e, t = segs.alias("e"), windows(tr, field, bits).alias("t")
-    # of k edits at most k - tau + i lie before a window that is the i-th of those left whole
-    longer, tau = F.greatest("e.n", "t.n"), F.floor(F.col("e.n") / (CUT - 1))
+    e, t = split_hot(segs, held(windows(tr, field, bits)))
+    e, t = e.alias("e"), t.alias("t")
+    # with k of at most tau edits, some window i is whole, has at most i + k - tau edits before it and tau - i behind it
+    tau = F.floor(F.col("e.n") / SHARE)
     shift, more = F.col("t.at") - F.col("e.at"), F.col("t.n") - F.col("e.n")
-    k = F.floor(longer / SHARE)
+    k = F.floor(F.least("e.n", "t.n") / SHARE)
     near = (
         (F.col("e.seg") == F.col("t.seg"))
+        & (F.col("e.salt") == F.col("t.salt"))
         & (F.col("e.cls") != F.col("t.cls"))
         & (F.abs(more) <= k)
         & (F.abs(shift) <= F.col("e.i") + k - tau)
-        & (F.abs(shift - more) <= k - F.col("e.i"))
+        & (F.abs(shift - more) <= tau - F.col("e.i"))
         & (sum(F.bit_count(F.col(f"e.{x}").bitwiseXOR(F.col(f"t.{x}"))) for x in SIGNATURE) <= 2 * k)
     )
     pairs = e.join(t, near).select(F.col("e.cls").alias("cls_a"), F.col("t.cls").alias("cls_b")).distinct()
@@ -424,7 +422,7 @@ def close_classes(rows: DataFrame) -> DataFrame:
 
 def overlaps(records: DataFrame, key: str = "rid") -> DataFrame:
     """(eval_id, train_id, edits, tokens) of all pairs; rows without words, and of no or another split, pair with none."""
-    rows = comparable(records, key).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = held(comparable(records, key))
     close = close_classes(rows)
     member = rows.select(F.col(key), "cls", "train", "n")
     ev = member.where(~F.col("train")).select(F.col(key).alias("eval_id"), F.col("cls").alias("cls_a"), F.col("n").alias("tokens"))
@@ -439,6 +437,20 @@ def found(records: DataFrame, key: str = "rid") -> DataFrame:
     return p.select(F.least("eval_id", "train_id").alias(f"{key}_a"), F.greatest("eval_id", "train_id").alias(f"{key}_b"))
 
 
+def classes(records: DataFrame, key: str = "rid") -> DataFrame:
+    """(key, class_id, copies, near_classes): each record of a text that both splits hold, exactly or nearly, once.
+
+    Records of one class have equal texts (class_id is the hash of the tokens, copies their number); near_classes counts
+    the other classes within the bound.  Nothing is expanded to pairs of records, however often a text recurs.
+    """
+    rows = held(comparable(records, key))
+    close = held(close_classes(rows))
+    links = close.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).union(close.select("cls_b", "cls_a")).groupBy("cls").agg(F.count_distinct("other").alias("near_classes"))
+    sizes = rows.groupBy("cls").agg(F.count_distinct(key).alias("copies"), F.max("train").alias("in_train"), F.min("train").alias("all_train"))
+    both = sizes.join(links, "cls", "left").where((F.col("in_train") & ~F.col("all_train")) | F.col("near_classes").isNotNull())
+    return rows.select(key, "cls").distinct().join(both, "cls").select(key, F.col("cls").alias("class_id"), "copies", F.coalesce("near_classes", F.lit(0)).alias("near_classes"))
+
+
 def report(records: DataFrame, key: str = "rid") -> DataFrame:
     """(split, collection, eval_rows, exact_rows, near_rows, pairs): evaluation rows with an overlap, by split and collection."""
     split = F.lower(F.trim(F.col("split")))

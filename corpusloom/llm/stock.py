@@ -10,14 +10,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import held
 from . import codepoints as C
 from .textio import lists, map_text, site_of
 
 LEAST_ROWS, LEAST_SHARE, LEAST_LETTERS, LEAST_CJK = 10, 20, 15, 6
+LISTS_MOST = 64 << 20  # bytes of all sites' lists up to which they are broadcast
+SALTS = 16
 
 
 def split_lines(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +85,8 @@ def stock_by_site(nodes: DataFrame) -> DataFrame:
 
 def stock_edges(lines: DataFrame, by_site: DataFrame) -> DataFrame:
     """(site, key_a, key_b, support) of stock lines that follow one another in enough rows."""
-    kept = lines.join(by_site, "site").select("site", "site_rows", F.expr("filter(line_key, x -> array_contains(stock_keys, x))").alias("k")).where(F.size("k") > 1)
+    kept = lines.join(by_site, "site").withColumn("own", F.array_intersect("line_key", "stock_keys"))  # hashed; then only the row's own are looked through
+    kept = kept.select("site", "site_rows", F.expr("filter(line_key, x -> array_contains(own, x))").alias("k")).where(F.size("k") > 1)
     pairs = kept.select("site", "site_rows", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(k) - 1), i -> struct(k[i - 1] as a, k[i] as b))"))).alias("e"))
     edges = pairs.groupBy("site", F.col("e.a").alias("key_a"), F.col("e.b").alias("key_b")).agg(F.count(F.lit(1)).alias("support"), F.first("site_rows").alias("n"))
     return edges.where((F.col("support") >= LEAST_ROWS) & (F.col("support") * LEAST_SHARE >= F.col("n")) & (F.col("key_a") != F.col("key_b"))).drop("n")
@@ -124,9 +127,10 @@ def found(records: DataFrame, key: str = "rid") -> DataFrame:
     Rows whose text is null or has no line long enough have none; equal rows count each; a line that
     recurs within a row counts once for its support and is listed at every place.
     """
-    lines = site_lines(records, key).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = held(site_lines(records, key))
     blocks = graph(lines).groupBy("site").agg(F.collect_list("line_key").alias("stock_keys"))
-    hits = lines.join(blocks, "site").select(key, F.explode(F.expr("filter(arrays_zip(line_no, line_key), x -> array_contains(stock_keys, x.line_key))")).alias("x"))
+    own = lines.join(blocks, "site").select(key, "line_no", "line_key", F.array_intersect("line_key", "stock_keys").alias("own")).where(F.size("own") > 0)
+    hits = own.select(key, F.explode(F.expr("filter(arrays_zip(line_no, line_key), x -> array_contains(own, x.line_key))")).alias("x"))
     return hits.select(key, F.col("x.line_no").alias("line_no"))
 
 
@@ -157,10 +161,21 @@ def stock_of(records: DataFrame, key: str = "rid") -> DataFrame:
     return stock_by_site(stock_nodes(site_lines(records, key), sites)).select("site", "stock_keys")
 
 
-def with_stock(records: DataFrame, key: str = "rid") -> DataFrame:
-    """(key, site, text, stock_keys): each record beside the stock lines of its site, null where it has none."""
-    by_site = stock_of(records, key)
-    return with_site(records, key).join(by_site, "site", "left")
+def with_stock(records: DataFrame, rows: DataFrame, key: str = "rid", most: int = LISTS_MOST) -> DataFrame:
+    """rows (key, site, text, ...) beside stock_keys, the stock lines of the site or of the row itself; null where it has none.
+
+    Texts are never shuffled by site, as one site may hold a third of them: the lists of all sites are broadcast if
+    their measured size is at most `most` bytes.  Beyond it the lines of each row, hashes only, meet the stock lines in
+    a salted join, and what a row has of them comes to it by its key.
+    """
+    by_site = held(stock_of(records, key))
+    size = by_site.agg(F.sum(F.size("stock_keys") * 8 + 32).alias("n")).first().n or 0
+    if size <= most:
+        return rows.join(F.broadcast(by_site), "site", "left").drop("site")
+    keys = by_site.select("site", F.explode("stock_keys").alias("line_key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = site_lines(records, key).select(key, "site", F.explode(F.array_distinct("line_key")).alias("line_key")).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    own = lines.join(keys, ["site", "line_key", "salt"]).groupBy(key).agg(F.collect_list("line_key").alias("stock_keys"))
+    return rows.drop("site").join(own, key, "left")
 
 
 def without_stock(records: DataFrame, key: str = "rid") -> DataFrame:
@@ -173,9 +188,9 @@ def without_stock(records: DataFrame, key: str = "rid") -> DataFrame:
         cp, off = drop_lines(cp, off, b.column("stock_keys"))
         return pa.RecordBatch.from_arrays([b.column(key), C.implode(cp, off, C.valid_of(arr))], names=[key, "text"])
 
-    return map_text(with_stock(records, key).select(key, "text", "stock_keys"), run, f"{key} long, text string")
+    return map_text(with_stock(records, with_site(records, key), key).select(key, "text", "stock_keys"), run, f"{key} long, text string")
 
 
 def blocks(records: DataFrame, key: str = "rid") -> DataFrame:
     """(site, block, line_key, support) of all stock lines; site is the hash of the site's name."""
-    return graph(site_lines(records, key).persist(StorageLevel.MEMORY_AND_DISK))
+    return graph(held(site_lines(records, key)))

@@ -31,7 +31,7 @@ def sentences(sf_dir: str, rng: np.random.Generator) -> list[tuple[bytes, int]]:
         rows = [(x, code_of(y)) for x, y in zip(t["text"].to_pylist(), t[column].to_pylist()) if x and code_of(y) in CODES]
         for i in rng.permutation(len(rows))[: SAMPLE // 2]:
             text, code = rows[i]
-            parts = [s.strip() for s in ENDS.split(markup.clean(text, True)) if len(s.strip()) > 5 and re.search(r"[^\W\d]", s)]
+            parts = [s.strip() for s in ENDS.split(markup.bare(text, True)) if len(s.strip()) > 5 and re.search(r"[^\W\d]", s)]
             out += [(s.encode(), CODES.index(code)) for s in parts[:6]]
     return out
 
