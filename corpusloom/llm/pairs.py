@@ -8,6 +8,7 @@ language by votes of stopwords and scripts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from .language import code_of
 from .textio import slices
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_source", "other_language")
-COPIED, RUN, RUN_CJK, REFUSAL_WORDS = 0.9, 3, 5, 60
+COPIED, RUN, RUN_CJK = 0.9, 3, 5
+REFUSED = 0.5  # share of the sentences that decline, from which an answer is a refusal wherever they stand
 
 # Answers that only hold the place of one.
 PLACEHOLDERS = {
@@ -140,17 +142,19 @@ def copied_share(answer: str, source: str, enough: float = 0.0) -> float:
     least = RUN_CJK if len(CJK.findall(answer)) * 2 > len(a) else RUN
     least = min(least, len(a))
     auto = SuffixAutomaton(b)
-    best: list[tuple[int, int, int, int]] = []  # (covered, end in answer, end in source, length) of the best chain ending in each block
+    best: list[tuple[int, int, int]] = []  # (-covered, end in answer, end in source) of the best chain ending in each block, rising
     top = 0
     for end, at, n in auto.blocks(a):
         if n < least:
             continue
         covered = n
-        for c, e, x, _ in best:
+        for c, e, x in best:
+            if n - c <= covered:
+                break  # no chain from here on covers more
             fresh = min(n, end - e, at - x)
-            if fresh > 0 and c + fresh > covered:
-                covered = c + fresh
-        best.append((covered, end, at, n))
+            if fresh > 0:
+                covered = max(covered, fresh - c)
+        insort(best, (-covered, end, at))
         top = max(top, covered)
     return top / len(a)
 
@@ -162,36 +166,66 @@ def is_empty(text: str | None) -> bool:
     return not letters or letters in PLACEHOLDERS and len(text) < 60
 
 
-def is_refusal(text: str) -> bool:
-    plain = re.sub(r"\s+", " ", QUOTED.sub(" ", text).casefold().replace("’", "'")).strip()
-    tokens = TOKEN.findall(plain)
-    limit = REFUSAL_WORDS * (2 if CJK.search(plain) else 1)
-    if len(tokens) > limit:
+def plain_voice(text: str) -> str:
+    """The text in the answer's own voice: quotations aside, case and spacing folded."""
+    return re.sub(r"\s+", " ", QUOTED.sub(" ", text).casefold().replace("’", "'")).strip()
+
+
+def is_refusal(text: str, source: str = "") -> bool:
+    """Whether the answer, of whatever length, declines: in one of its first two sentences, or in half of them.
+
+    A phrase that the source has too is part of what is rewritten.
+    """
+    plain = plain_voice(text)
+    hits = list(refusal_automaton().iter(plain))
+    if not hits:
         return False
-    first = re.split(r"(?<=[.!?])\s|(?<=[。！？])", plain)
-    span = len(" ".join(first[:2]))
-    for end, size in refusal_automaton().iter(plain):
+    told = plain_voice(source) if source else ""
+    sentences = [m.end() for m in re.finditer(r"[^.!?。！？]+[.!?。！？]*", plain)] or [len(plain)]
+    declining = set()
+    for end, size in hits:
         start = end - size + 1
-        before = plain[start - 1 : start]
-        if start <= span and (not before.isascii() or not before.isalnum()):
-            return True
-    return False
+        before = plain[start - 1 : start] if start else ""
+        if (not before.isascii() or not before.isalnum()) and plain[start : end + 1] not in told:
+            declining.add(bisect_right(sentences, start))
+    return bool(declining) and (min(declining) < 2 or len(declining) >= REFUSED * len(sentences))
+
+
+# Brackets and quotation marks that open and close.
+BRACKETS = {")": "(", "）": "（", "]": "[", "】": "【", "」": "「", "』": "『", "}": "{", "»": "«"}
+FENCED = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[^\n]*\n[\s\S]*?^[ \t]{0,3}\1[`~]*[ \t]*$|`[^`\n]*`", re.M)
 
 
 def open_at_end(text: str) -> bool:
-    """Whether a fence, bracket or quotation begun in the last part of the text is still open."""
-    fences = re.findall(r"^[ \t]{0,3}(`{3,}|~{3,})", text, re.M)
-    if len(fences) % 2:
+    """Whether a fence is open, or a bracket or quotation of the last paragraph, or one after which no sentence ends.
+
+    The stack runs over the whole text; in lines that are list items brackets may stay open, as in numberings.
+    """
+    if len(re.findall(r"^[ \t]{0,3}(`{3,}|~{3,})", text, re.M)) % 2:
         return True
-    last = text.rstrip().rsplit("\n", 1)[-1]
-    stack: list[str] = []
-    pairs = {")": "(", "）": "（", "]": "[", "】": "【", "」": "「", "』": "『", "}": "{", "»": "«"}
-    for c in last:
-        if c in pairs.values():
-            stack.append(c)
-        elif c in pairs and stack and stack[-1] == pairs[c]:
-            stack.pop()
-    return bool(stack) and not LIST_ITEM.match(last)
+    body = FENCED.sub(lambda m: " " * len(m[0]), text.rstrip())
+    stack: list[tuple[str, int]] = []
+    for m in BRACKET.finditer(body):
+        c = m[0]
+        if c in BRACKETS:
+            # what was opened within this pair and not closed is left over
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == BRACKETS[c]), -1)
+            if i >= 0:
+                del stack[i:]
+        else:
+            stack.append((c, m.start()))
+    if not stack:
+        return False
+    paragraph = body.rfind("\n\n") + 1
+    for _, at in stack:
+        line = body[body.rfind("\n", 0, at) + 1 :]
+        after = body[at + 1 :]
+        if (at >= paragraph or not any(c in SENTENCE_END for c in after)) and not (LIST_ITEM.match(line) and "\n" not in line):
+            return True
+    return False
+
+
+BRACKET = re.compile("[" + re.escape("".join({*BRACKETS, *BRACKETS.values()})) + "]")
 
 
 def letters(line: str) -> str:
@@ -279,20 +313,19 @@ def defects(text: str | None, source: str | None, target: str | None) -> list[st
     if is_empty(text):
         return ["empty"]
     out = []
-    refusal = is_refusal(text)
+    refusal = is_refusal(text, source or "")
     if refusal:
         out.append("refusal")
-    else:
-        if is_truncated(text, source or ""):
-            out.append("truncated")
-        if source:
-            share = copied_share(text, source, COPIED)
-            if share < COPIED:
-                m = LEAD_IN.match(text)
-                if m and m.end() < len(text):
-                    share = copied_share(text[m.end() :], source, COPIED)
-            if share >= COPIED:
-                out.append("copied_source")
+    if is_truncated(text, source or "") and not (refusal and not open_at_end(text.rstrip())):  # a short refusal may lack its full stop
+        out.append("truncated")
+    if source:
+        share = copied_share(text, source, COPIED)
+        if share < COPIED:
+            m = LEAD_IN.match(text)
+            if m and m.end() < len(text):
+                share = copied_share(text[m.end() :], source, COPIED)
+        if share >= COPIED:
+            out.append("copied_source")
     if is_other_language(text, code_of(target)):
         out.append("other_language")
     return out
@@ -301,12 +334,12 @@ def defects(text: str | None, source: str | None, target: str | None) -> list[st
 def found(pairs: DataFrame, queue: DataFrame) -> DataFrame:
     """(pair_id, defect), distinct.
 
-    Whole-row repeats of pairs and queue rows count once; a pair whose queue row is unknown is judged without
+    Whole-row repeats of pairs and queue rows count once; where queue rows of one id differ, the answer is judged by each; a pair whose queue row is unknown is judged without
     prompt and target language; null and empty texts are 'empty'; null keys never join.
     """
     ship(pairs.sparkSession)
     p = pairs.select("pair_id", "queue_id", "text").dropDuplicates()
-    q = queue.select(F.col("queue_id").alias("q_id"), F.col("selected_source_text").alias("source"), F.col("target_language").alias("target")).dropDuplicates(["q_id"])
+    q = queue.select(F.col("queue_id").alias("q_id"), F.col("selected_source_text").alias("source"), F.col("target_language").alias("target")).dropDuplicates()
     both = p.join(q, p.queue_id == q.q_id, "left").select("pair_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), "target")
 
     def run(batches):
