@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import held
 from . import tokens as T
 
 BINS, LEAN = 1 << 12, 0.5
@@ -80,9 +81,7 @@ def with_prefix(docs: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def _sized(docs: DataFrame, key: str, path: str) -> DataFrame:
-    from pyspark import StorageLevel
-
-    return T.sized(docs, key, ("source",), path).where("tokens > 0 and source is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    return held(T.sized(docs, key, ("source",), path).where("tokens > 0 and source is not null"))
 
 
 def _sources(docs: DataFrame) -> DataFrame:

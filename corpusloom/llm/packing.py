@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import held
 from . import tokens as T
 
 SHARD = 6000  # pieces packed together
+DOCS_MOST, ATTENTION_SHARE = 128, 0.75  # pieces of a container, and their attention cost in squares of the capacity; a piece that costs more stands alone
 WEIGHTS = (1.0, 0.05, 0.2)  # tokens, documents, attention
 
 
@@ -61,17 +62,20 @@ def best_fit(size: np.ndarray, capacity: int, separator: int, docs_most: int, at
     return where, slot, first
 
 
-def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", docs_most: int = 4096, attention_share: float = 1.0, rule: str = "norm", path: str = T.TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", docs_most: int = DOCS_MOST, attention_share: float = ATTENTION_SHARE, rule: str = "norm", path: str = T.TOKENIZER) -> DataFrame:
     """(spec_id, container, slot, key, piece_no, text_from, tokens, container_from): every piece of every selected text.
 
     Texts longer than a container are cut into full pieces and a rest; null, empty and tokenless texts are
-    left out; a spec without capacity packs nothing.  A container's name is its shard and number.
+    left out; a spec without capacity packs nothing.  A container's name is its shard and number.  No container holds
+    more than docs_most pieces, nor pieces whose squared lengths sum to more than attention_share of its squared
+    capacity; a piece that alone costs more has a container to itself.  The specs are a plan table and come to the driver.
     """
     rows = specs.select("spec_id", F.col("capacity_tokens").cast("int").alias("capacity"), F.coalesce(F.col("separator_tokens"), F.lit(0)).cast("int").alias("separator"), "lang_filter").dropDuplicates(["spec_id"]).collect()
     rows = [r for r in rows if r.capacity and r.capacity > 0]
     kind = "array<struct<spec_id: string, capacity: int, separator: int>>"
     cells = [F.when(F.lit(True) if r.lang_filter is None else F.col("lang") == r.lang_filter, F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity"), F.lit(r.separator).alias("separator"))) for r in rows]
-    sized = T.sized(docs, key, ("lang",), path).where("tokens > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    sized = T.sized(docs, key, ("lang",), path).where("tokens > 0")
+    sized = held(sized)
     each = sized.select(key, "tokens", F.explode(F.array_compact(F.array(*cells)) if cells else F.array().cast(kind)).alias("s")).select(key, "tokens", "s.*")
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))))
     pieces = pieces.select("spec_id", "capacity", "separator", key, (F.col("piece") + 1).alias("piece_no"), (F.col("piece") * F.col("capacity")).cast("long").alias("text_from"), F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("size"))
@@ -90,8 +94,13 @@ def pack(docs: DataFrame, specs: DataFrame, key: str = "doc_id", docs_most: int
 
 
 def report(docs: DataFrame, specs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """(spec_id, containers, pieces, tokens, capacity_tokens, fill): how full the containers are."""
-    x = pack(docs, specs, key, **options).groupBy("spec_id", "container").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"))
-    x = x.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"))
-    x = x.join(F.broadcast(specs.dropDuplicates(["spec_id"]).select("spec_id", "capacity_tokens")), "spec_id")
-    return x.select("spec_id", "containers", "pieces", "tokens", "capacity_tokens", F.try_divide(F.col("tokens"), F.col("containers") * F.col("capacity_tokens")).alias("fill"))
+    """(spec_id, rule, docs_most, attention_share, containers, pieces, tokens, capacity_tokens, most_docs, fill): how full the
+    containers are under each rule, with the limits and, in the last of three rows, without."""
+    out = None
+    for rule, most, share in (("norm", DOCS_MOST, ATTENTION_SHARE), ("dot", DOCS_MOST, ATTENTION_SHARE), ("norm", 1 << 30, 1e9)):
+        x = pack(docs, specs, key, most, share, rule, **options).groupBy("spec_id", "container").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"))
+        x = x.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"), F.max("k").alias("most_docs"))
+        x = x.withColumns({"rule": F.lit(rule), "docs_most": F.lit(most), "attention_share": F.lit(share).cast("double")})
+        out = x if out is None else out.unionByName(x)
+    x = out.join(F.broadcast(specs.dropDuplicates(["spec_id"]).select("spec_id", "capacity_tokens")), "spec_id")  # plan table
+    return x.select("spec_id", "rule", "docs_most", "attention_share", "containers", "pieces", "tokens", "capacity_tokens", "most_docs", F.try_divide(F.col("tokens"), F.col("containers") * F.col("capacity_tokens")).alias("fill"))

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "records", spread=True).select("rid", "text", "title")
-    return unify.unify_text(unify.unify_text(r, "text"), "title").select("rid", "text", "title")
+    return unify.unify_text(r, ("text", "title")).select("rid", "text", "title")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "records", spread=True))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.classes(table(spark, d, "records", spread=True))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.found(table(spark, d, "records", spread=True))
 

@@ -12,26 +12,30 @@ from . import codepoints as C
 from .textio import map_text, slices
 
 
-def unify_text(df: DataFrame, column: str, out: str | None = None, flag: str | None = None) -> DataFrame:
-    """df with the column in one form (in place, or as column out) and, if asked, whether it held a stand-in.
+def unify_text(df: DataFrame, column: str | tuple[str, ...], out: str | None = None, flag: str | None = None) -> DataFrame:
+    """df with the column (or several, in one pass) in one form, in place or as column out, and if asked whether it held a stand-in.
 
     Nulls stay null and empty strings empty; other columns, whatever their names and types, pass unchanged.
     """
     from pyspark.sql import types as T
 
-    out = out or column
-    fields = [f for f in df.schema.fields if f.name not in (out, flag)]
-    schema = T.StructType([*fields, T.StructField(out, T.StringType())] + ([T.StructField(flag, T.BooleanType())] if flag else []))
+    columns = (column,) if isinstance(column, str) else column
+    outs = (out,) if out else columns
+    fields = [f for f in df.schema.fields if f.name not in (*outs, flag)]
+    schema = T.StructType([*fields, *[T.StructField(x, T.StringType()) for x in outs]] + ([T.StructField(flag, T.BooleanType())] if flag else []))
     names = [f.name for f in fields]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        arr = b.column(column)
-        cp, off = C.explode(arr)
-        cp, off, found = C.unify(cp, off)
-        cols = [b.column(n) for n in names] + [C.implode(cp, off, C.valid_of(arr))]
-        return pa.RecordBatch.from_arrays(cols + ([pa.array(found)] if flag else []), names=names + [out] + ([flag] if flag else []))
-
-    return map_text(df, run, schema, column)
+        new, held = [], np.zeros(b.num_rows, bool)
+        for c in columns:
+            arr = b.column(c)
+            cp, off = C.explode(arr)
+            cp, off, bad = C.unify(cp, off)
+            new.append(C.implode(cp, off, C.valid_of(arr)))
+            held |= bad
+        return pa.RecordBatch.from_arrays([b.column(n) for n in names] + new + ([pa.array(held)] if flag else []), names=[*names, *outs] + ([flag] if flag else []))
+
+    return map_text(df, run, schema, columns[0])
 
 
 def found(records: DataFrame, key: str = "rid", columns: tuple[str, ...] = ("text", "title")) -> DataFrame:

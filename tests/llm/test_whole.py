@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from corpusloom.llm import codepoints as C
-from corpusloom.llm import language, lstm, markup, overlap, residue
+from corpusloom.llm import language, lstm, markup, overlap, packing, pairs, residue, stock
 
 PROSE = "The river board read the annual report <br/> of the town & its [[Otter|ford]]."
 
@@ -18,7 +18,7 @@ def test_text_after_an_open_fence_is_text(code):
     text = f"A mill.\n```\n{code}{PROSE}\n- The list (one)\n\\emph{{Old}} wheel"
     [(start, a, b, end)] = markup.fences(text)
     assert (text[a:b].rstrip("\n"), b) == (code.rstrip("\n"), end) and text[end:].lstrip("\n").startswith(PROSE)
-    assert "annual report" in markup.clean(text, True) and "Old wheel" in markup.clean(text)
+    assert "annual report" in markup.bare(text, True) and "Old wheel" in markup.clean(text)
     assert "<br/>" not in markup.clean(text) and "[[" not in markup.clean(text)
     assert ("return v1" in markup.clean(text)) == ("return v1" in code)
 
@@ -100,9 +100,78 @@ def test_texts_of_code_tables_lists_and_links_are_compared(spark):
     assert pairs_of(spark, link, LONG.format("everyone who lived there by the mill")) == [(0, 1)]
 
 
-def test_running_text_still_compares_without_added_code(spark):
-    added = LONG.format("everyone") + "\n```\n" + "run(mill, wheel)\n" * 9 + "```"
-    assert pairs_of(spark, added, LONG.format("everyone")) == [(0, 1)]
+def test_added_code_is_compared_like_all_words(spark):
+    added = LONG.format("everyone") + "\n```\nrun(mill)\n```"
+    long = LONG.format("everyone") + "\n```\n" + "run(mill, wheel)\n" * 9 + "```"
+    assert pairs_of(spark, added, LONG.format("everyone"), long) == [(0, 1)]  # two words more, and a whole block more
+
+
+def test_different_code_and_tables_differ(spark):
+    code = lambda x: LONG.format("everyone") + f"\n```\n{x}\n```"
+    assert pairs_of(spark, code("load the old wheel from the pond"), code("sell every new boat at some fair")) == []
+
+
+def test_unrelated_rows_change_no_pair(spark):
+    words = [f"w{i}" for i in range(16)]
+    near = [*words[:3], "x", *words[4:11], "y", *words[12:]]
+    far = [*words[:3], "x", *words[4:8], "z", *words[9:11], "y", *words[12:]]
+    noise = [" ".join(words[i : i + 9]) + f" n{j}" for j in range(40) for i in range(4)]
+    few = pairs_of(spark, " ".join(words), " ".join(near), "q", " ".join(far))
+    assert few == [(0, 1)]
+    assert [x for x in pairs_of(spark, " ".join(words), " ".join(near), "q", " ".join(far), *noise) if x[1] < 4] == few
+
+
+def test_texts_of_eight_words_may_differ_in_one(spark):
+    assert pairs_of(spark, "the old mill fell into the river today", "the old mill fell into the water today", "the old mill fell into the pond", "the old mill fell into the race") == [(0, 1)]
+
+
+def test_hot_windows_are_split_without_loss(spark):
+    e = spark.createDataFrame([(s, c) for s in (1, 2) for c in range(4)], "seg long, cls long")
+    t = spark.createDataFrame([(1, c) for c in range(100, 150)] + [(2, 7), (3, 8)], "seg long, cls long")
+    want = e.alias("e").join(t.alias("t"), "seg").count()
+    for listed in (10, 0):
+        a, b = overlap.split_hot(e, t, 8, listed)
+        assert a.where("seg = 1").count() == 4 * 7 and a.where("seg = 2").count() == 4
+        assert a.join(b, ["seg", "salt"]).count() == want == 204
+
+
+def test_stock_lists_by_row_where_they_are_too_many_to_broadcast(spark):
+    rows = [(i, "c", None, "en", "https://a.example/p", None, f"The very same line of the site\nown {i}") for i in range(30)] + [(90, "c", None, "en", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lists = [sorted((r.rid, tuple(r.stock_keys or ())) for r in stock.with_stock(df, stock.with_site(df), most=most).collect()) for most in (stock.LISTS_MOST, -1)]
+    assert lists[0] == lists[1] and sum(len(k) for _, k in lists[0]) == 30
+
+
+# --- clean text
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("See a[i][j] for the matrix.", "See a[i][j] for the matrix."),
+        ("Use the tag &lt;b&gt;bold&lt;/b&gt; here.", "Use the tag <b>bold</b> here."),
+        ("A mill.\n```\n&amp;amp; x **y**\n```\nIt **fell**.", "A mill.\n```\n&amp;amp; x **y**\n```\nIt fell."),
+        ("\\section{Outlook}\\label{s8}\nSee \\cite{mill90}.", "# Outlook\n[s8]\nSee [mill90]."),
+        ("<h2>Mill</h2><ol><li>one</li><li>two</li></ol><ul><li>x</li></ul>", "## Mill\n1. one\n2. two\n- x"),
+        ("\\begin{enumerate}\n\\item a\n\\item b\n\\end{enumerate}\n$$ a + b $$", "1. a\n2. b\n$$ a + b $$"),
+        ("{|\n! A !! B\n|-\n| 1 || '''2'''\n|}", "| A | B |\n| 1 | 2 |"),
+        ("Mill\n====\nThe mill stood by the river for two centuries.", "# Mill\nThe mill stood by the river for two centuries."),
+        ("See [the mill][m] and [x][y].\n\n[m]: https://m.example", "See the mill and [x][y]."),
+        ("<pre><code>for x in rows:\n    emit(&lt;x&gt;)</code></pre>", "```\nfor x in rows:\n    emit(<x>)\n```"),
+    ],
+)
+def test_structure_stays_in_the_clean_text(text, want):
+    assert markup.clean(text) == want
+
+
+def test_the_trees_decide(monkeypatch):
+    texts = ["The power 2 ** 8 and a < b and 3 * 4, said the clerk.", "Rows a[i][j] at C:\\work\\x and $5.", "Set <API_KEY> and {name} now.", "AT&T and x_{3} stand there.", "Docs > Guides > Release 4"]
+    marked = ["It was **never** rebuilt.", "<p>The mill.</p>", "A [[mill]] by the ford.", "It fell by \\alpha then."]
+    assert [h for h, _, _ in markup.judge(texts)] == [set()] * 5 and all(h for h, _, _ in markup.judge(marked))
+    assert all(markup.features([(t, "")])[:, len(markup.BASE) :].any() for t in texts)  # shapes alone would find markup in them
+    monkeypatch.setattr(markup, "trees", lambda: ([[(-1, 0.0, 0, 0, 0)]] * 4, [(-1, 0.0, 0, 0, 0)]))
+    assert not any(h for h, _, _ in markup.judge(marked))
+    assert markup.clean("def load(path):\n    x = **y**") != "def load(path):\n    x = **y**"
 
 
 def test_list_sentences_vote_and_names_do_not(spark):
@@ -120,3 +189,42 @@ def test_lines_that_name_the_own_host_may_be_text(spark):
     urls = {0: "https://mill.example/a", 1: "https://mill.example/b", 2: "https://mill.example/c", 3: "https://race.example/d", 4: "https://mill.example/e"}
     assert pairs_of(spark, one, one, LONG.format("nobody") + "\n" + one.replace("first", "last"), LONG.format("nobody") + "\n" + one.replace("first", "last"), urls=urls) == [(0, 1), (2, 3)]
     assert pairs_of(spark, f"{LONG.format('she')}\n{two}", LONG.format("she"), urls=urls) == [(0, 1)]
+
+
+# --- limits of containers, defects of answers
+
+
+def test_each_limit_of_a_container_binds():
+    size = np.array([60] * 10 + [30] * 20 + [2] * 300)
+    free = packing.best_fit(size, 100, 1, 1 << 30, 1e9)[0]
+    for most, share in ((20, 1e9), (1 << 30, 0.4)):
+        where, _, _ = packing.best_fit(size, 100, 1, most, share * 100 * 100)
+        assert where.max() > free.max() and np.bincount(where).max() <= most
+        cost = np.bincount(where, size.astype(float) ** 2)
+        assert ((cost <= share * 100 * 100) | (np.bincount(where) == 1)).all()
+    norm, dot = (packing.best_fit(size, 100, 1, 20, 0.5 * 100 * 100, rule)[0] for rule in ("norm", "dot"))
+    assert (norm != dot).any()
+
+
+def test_long_refusals_and_open_brackets():
+    more = "You may ask an editor of the town, who has more time for such work and knows the mill by heart. " * 6
+    assert pairs.defects("I'm sorry, but I can't help with this text. " + more, "The mill.", "en") == ["refusal"]
+    assert pairs.defects("The old clerk was there. The wheel turned. " * 9 + 'Then she wrote: "I\'m sorry, but I can\'t help."', "The mill.", "en") == []
+    assert pairs.defects("The clerk said I am not able to swim. He left.", "A clerk said: I am not able to swim.", "en") == []
+    assert pairs.defects("The mill was rebuilt (by the people\nof the ford.", "x", "en") == ["truncated"]
+    assert pairs.defects("The mill (see [1] was old.\n\nIt was rebuilt. It stands.", "x", "en") == []
+    assert pairs.defects("I'm sorry, but I can't help with (this", "x", "en") == ["refusal", "truncated"]
+
+
+def test_queue_rows_of_one_id_all_count(spark):
+    p = spark.createDataFrame([("a", "q", "The mill stood by the river for years. It was of oak and stone.")], "pair_id string, queue_id string, text string")
+    for order in ((0, 1), (1, 0)):
+        q = [("q", "The mill stood by the river for years. It was of oak and stone.", "en"), ("q", "An old mill.", "de")]
+        df = spark.createDataFrame([q[i] for i in order], "queue_id string, selected_source_text string, target_language string")
+        assert sorted(map(tuple, pairs.found(p, df).collect())) == [("a", "copied_source"), ("a", "other_language")]
+
+
+def test_classes_of_copies(spark):
+    rows = [(i, f"c{i}", "test" if i % 2 else "train", "en", None, None, LONG.format("she")) for i in range(6)] + [(9, "c", "train", "en", None, None, LONG.format("he")), (10, "c", "train", "en", None, None, "alone here")]
+    got = {r.rid: (r.copies, r.near_classes) for r in overlap.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: (6, 1) for i in range(6)}, 9: (1, 1)}
