@@ -32,10 +32,13 @@ def audit_rows(records: DataFrame, fingerprint: str) -> DataFrame:
 
 
 def not_idempotent(records: DataFrame) -> DataFrame:
-    """Rows whose cleaned text a second pass would change; must be empty."""
-    first = cleaning.cleaned(records.withColumn("right_text", F.lit(None).cast("string"))).where(F.col("left_result.text") != F.col("text"))
-    again = cleaning.clean_column(F.col("left_result.text"), F.col("title"), F.col("source_url"), F.col("collection"), F.lit(""))
-    return first.select("rid", F.col("left_result.text").alias("once"), again.alias("r")).where(F.col("once") != F.col("r.text")).select("rid")
+    """(rid, side) whose cleaned text a second pass would change; must be empty."""
+    c = cleaning.cleaned(records)
+    part = lambda name, text: F.struct(F.lit(name).alias("side"), F.col(text).alias("raw"), F.col(f"{name}_result.text").alias("once"))
+    x = c.select("rid", "title", "source_url", "collection", F.explode(F.array(part("left", "text"), part("right", "right_text"))).alias("s")).select("rid", "title", "source_url", "collection", "s.*")
+    x = x.where(F.col("once") != F.col("raw"))  # what the first pass left alone, the second does too
+    again = cleaning.clean_column(F.col("once"), F.col("title"), F.col("source_url"), F.col("collection"), F.lit(""))
+    return x.select("rid", "side", "once", again.alias("r")).where(F.col("once") != F.col("r.text")).select("rid", "side")
 
 
 def scoped_removals(sides: DataFrame, rules: DataFrame) -> DataFrame:
@@ -86,8 +89,58 @@ def eligible(records: DataFrame, warnings: Column, domains: tuple[str, ...], lea
     return records.where(ok & ~F.arrays_overlap(F.coalesce(warnings, F.array().cast("array<string>")), F.array(*map(F.lit, BLOCKED))))
 
 
-def point(records: DataFrame, record_id: str) -> DataFrame:
-    return records.where(F.col("record_id") == record_id)
+def point(records: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
+    """The rows of the wanted ids beside found; an id that no row has comes out once with found = false."""
+    x = ids.select(key).distinct().join(records.withColumn("found", F.lit(True)), key, "left")
+    return x.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def without_ids(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose id is on no exclusion list; a null id is on none."""
+    return rows.join(excluded.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def any_startswith(items: Column, prefix: str) -> Column:
+    """Whether some item of an array begins with the prefix; null arrays have none."""
+    return F.coalesce(F.exists(items, lambda x: F.coalesce(x.startswith(prefix), F.lit(False))), F.lit(False))
+
+
+def without_known_failures(rows: DataFrame, failures: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows that have failed before with this very text (key, text_sha) left out; a changed text is tried anew."""
+    x = rows.withColumn("text_sha", X.sha(F.col(text)))
+    return x.join(failures.select(key, "text_sha").distinct(), [key, "text_sha"], "left_anti").drop("text_sha")
+
+
+SENTENCES = r"(?<=[.!?。！？])\s*|\n+"
+
+
+def unaligned(records: DataFrame, key: str = "rid", left: str = "text", right: str = "right_text") -> DataFrame:
+    """(key, side, sentences, unaligned): sentences of each side of a pair, and how many of them the other side lacks."""
+    cut = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.col(c), r"\n"), X.collapse), lambda x: x != ""))
+    x = records.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(key, cut(left).alias("a"), cut(right).alias("b"))
+    one = lambda name, p, q: F.struct(F.lit(name).alias("side"), F.size(p).cast("long").alias("sentences"), F.size(F.array_except(p, q)).cast("long").alias("unaligned"))
+    return x.select(key, F.explode(F.array(one("left", F.col("a"), F.col("b")), one("right", F.col("b"), F.col("a")))).alias("s")).select(key, "s.*")
+
+
+def same_query(answers: DataFrame, query: str, key: str, order: list[str]) -> DataFrame:
+    """(key, query, first): each further answer to a query beside the first one; nothing is paired with all."""
+    first = answers.groupBy(query).agg(F.min_by(key, F.struct(*order)).alias("first"))
+    return answers.join(first, query).where(F.col(key) != F.col("first")).select(key, query, "first")
+
+
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, digest): a digest of a table as a multiset of rows, whatever their order; repeated rows count."""
+    line = F.concat_ws(chr(31), *[F.coalesce(F.col(c).cast("string"), F.lit(chr(0))) for c in columns])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(X.sha(line), 1, 12), 16, 10).cast("long")).cast("decimal(38,0)").alias("digest"))
+
+
+def metadata_manifest(records: DataFrame) -> DataFrame:
+    """(rid, record_id, roles, hashes, languages): what is known of a record beside its texts."""
+    sides = [("left", "text", "text_role"), ("right", "right_text", "right_role")]
+    entries = lambda value: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), value(t, r).alias("v")) for n, t, r in sides]), lambda e: e.v.isNotNull()))
+    roles = entries(lambda t, r: F.when(F.col(t).isNotNull(), F.col(r)))
+    hashes = entries(lambda t, r: X.sha(F.col(t)))
+    return records.select("rid", "record_id", roles.alias("roles"), hashes.alias("hashes"), (F.col("right_text") == "").alias("deletion"))
 
 
 def message_text(raw: Column) -> Column:

@@ -111,3 +111,23 @@ def writing_problems(pairs: DataFrame) -> DataFrame:
         "claim_id_in_text": F.exists(ids, lambda c: F.coalesce(F.instr(F.col("text"), c) > 0, F.lit(False))),
     }
     return pairs.select("pair_id", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])).alias("problems"))
+
+
+def downgraded(pairs: DataFrame) -> DataFrame:
+    """(pair_id, status, unresolved, warnings): an answer that breaks a rule of its coverage keeps its text, but all its claims
+    count as unresolved and the rule is added to its warnings."""
+    none = F.array().cast("array<string>")
+    x = writing_problems(pairs.withColumn("pair_id", F.struct("pair_id", "claim_ids", "unresolved_claim_ids", "normalization_warnings"))).select("pair_id.*", "problems")
+    bad = F.size("problems") > 0
+    known = F.array_sort(F.array_distinct(F.coalesce("unresolved_claim_ids", none)))
+    every = F.array_sort(F.array_union(F.coalesce("claim_ids", none), F.coalesce("unresolved_claim_ids", none)))
+    warnings = F.array_sort(F.array_union(F.coalesce("normalization_warnings", none), F.col("problems")))
+    return x.select("pair_id", F.when(bad, "unresolved").otherwise("resolved").alias("status"), F.when(bad, every).otherwise(known).alias("unresolved"), warnings.alias("warnings"))
+
+
+def resume(queue: DataFrame, committed: DataFrame, config: str) -> DataFrame:
+    """(queue_id, action) of a run that goes on: skip what is committed under the same configuration, run what is not, and
+    name a conflict where a committed row was made under another one.  committed is (queue_id, config)."""
+    done = committed.groupBy("queue_id").agg(F.max(F.col("config") == config).alias("same"))
+    x = queue.select("queue_id").distinct().join(done, "queue_id", "left")
+    return x.select("queue_id", F.when(F.col("same").isNull(), "run").when(F.col("same"), "skip").otherwise("configuration_conflict").alias("action"))

@@ -46,3 +46,12 @@ def reason_counts(gated: DataFrame) -> DataFrame:
 def flag_totals(gated: DataFrame) -> DataFrame:
     """How many rows were scanned, flagged, and left empty."""
     return gated.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.size("reasons") > 0).alias("flagged"), F.count_if(F.array_contains("reasons", "empty_rewrite_side")).alias("became_empty"))
+
+
+def flag_export(gated: DataFrame, key: str, warnings: str) -> DataFrame:
+    """(kind, value, quality_status, n, first_key): flagged rows by status, by warning and by reason in one pass."""
+    none = F.array().cast("array<string>")
+    tag = lambda kind, c: F.transform(F.array_distinct(F.coalesce(c, none)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    all_tags = F.concat(F.array(F.struct(F.lit("status").alias("kind"), F.col("quality_status").alias("value"))), tag("warning", F.col(warnings)), tag("reason", F.col("reasons")))
+    x = gated.where((F.size("reasons") > 0) | (F.coalesce(F.size(warnings), F.lit(0)) > 0)).select(key, "quality_status", F.explode(all_tags).alias("t"))
+    return x.groupBy("t.kind", "t.value", "quality_status").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key")).select("kind", "value", "quality_status", "n", "first_key")

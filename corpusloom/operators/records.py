@@ -84,11 +84,12 @@ def coverage(records: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def violations(records: DataFrame) -> DataFrame:
-    """(rid, rule) of every rule of the record model a row breaks; must be empty for the strict path."""
+    """(rid, rule) of every rule of the record model a row breaks."""
     rules = {
         "empty_id": F.coalesce("record_id", F.lit("")) == "", "empty_collection": F.coalesce("collection", F.lit("")) == "",
         "no_left_text": F.col("text").isNull(), "no_pair_type": F.coalesce("pair_type", F.lit("")) == "",
         "unpaired_with_right": (F.col("pair_type") == "unpaired") & F.col("right_text").isNotNull(),
+        "no_language": X.strip(F.coalesce("language", F.lit(""))) == "", "no_license": X.strip(F.coalesce("license", F.lit(""))) == "",
         "null_alternative": F.exists(F.coalesce("alternatives", F.array().cast("array<string>")), lambda t: t.isNull()),
     }
     return records.select("rid", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule"))

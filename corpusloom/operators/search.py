@@ -31,18 +31,19 @@ class Query:
     extra: list[Column] = field(default_factory=list)
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters that are a plain letter with marks, and those plain letters: by rule, from the Unicode database."""
-    a, b = [], []
-    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
-        d = unicodedata.normalize("NFD", c)
-        if len(d) > 1 and d[0].isascii() and c == c.lower():
-            a.append(c)
-            b.append(d[0])
-    return "".join(a), "".join(b)
+def _variants() -> dict[str, str]:
+    """Letters that are another letter with marks (Latin, Greek, Cyrillic, in either case) and that letter: by rule, from the Unicode database."""
+    out = {}
+    for c in map(chr, (*range(0xC0, 0x530), *range(0x1E00, 0x2000))):
+        low = c.lower()
+        d = "".join(x for x in unicodedata.normalize("NFD", low) if not "\u0300" <= x <= "\u036f")
+        if len(d) == 1 and d != low and d.isalpha():
+            out[c] = d
+    return out
 
 
-ACCENTED, PLAIN = _accents()
+VARIANTS = _variants()
+ACCENTED, PLAIN = ("".join(x) for x in zip(*((k, v) for k, v in VARIANTS.items() if k == k.lower())))
 
 
 def fold(text: Column) -> Column:
@@ -50,6 +51,11 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\x{300}-\x{36f}]", "")
 
 
+def folded(text: str) -> str:
+    """The same for a query."""
+    return "".join(VARIANTS.get(c, c) for c in unicodedata.normalize("NFC", text).lower() if not "\u0300" <= c <= "\u036f")
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -57,16 +63,28 @@ def tokens(text: Column) -> Column:
 
 def terms_of(q: str) -> list[list[str]]:
     """The query's folded terms; one that the index would split is a phrase of several tokens."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", q.strip()[:300].lower()) if not "\u0300" <= c <= "\u036f")
-    return [t for t in ([x for x in re.split(r"[\W_]+", w) if x] for w in re.findall(r"\w+", unicodedata.normalize("NFC", bare))) if t]
+    return [t for t in ([x for x in re.split(r"[\W_]+", w) if x] for w in re.findall(r"\w+", folded(q.strip()[:300]))) if t]
+
+
+MARKS = r"[\x{300}-\x{36f}]*"
+
+
+def _letter(c: str) -> str:
+    """All that folds to a letter, with the marks that may follow it."""
+    kin = {c, c.upper(), *(k for k, v in VARIANTS.items() if v == c)}
+    return "[" + "".join(f"\\x{{{ord(x):x}}}" for x in sorted(kin) if len(x) == 1) + "]" + MARKS
+
+
+def term_pattern(term: list[str]) -> str:
+    """A pattern of a term, or of the tokens of a phrase, over text that is not folded: one pass and no tokens made."""
+    return r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][\x{300}-\x{36f}]{1,4})" + r"[^\p{L}\p{N}]+".join("".join(map(_letter, t)) for t in term) + r"(?![\p{L}\p{N}])"
 
 
 def has_terms(text: Column, q: str) -> Column:
     """Whether all terms occur; a query without terms filters nothing."""
-    line = F.concat(F.lit(" "), F.concat_ws(" ", tokens(text)), F.lit(" "))
     out = F.lit(True)
     for t in terms_of(q):
-        out = out & (F.instr(line, " " + " ".join(t) + " ") > 0)
+        out = out & text.rlike(term_pattern(t))
     return out
 
 
@@ -115,3 +133,27 @@ def lookup(index: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows that hold all wanted tokens, by counting them in the index."""
     wanted = sorted(set(wanted))
     return index.where(F.col("token").isin(wanted)).groupBy("rid").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(wanted)).select("rid")
+
+
+PARTS = 256  # folders of a stored index
+
+
+def _part(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(PARTS)).cast("int")
+
+
+def write_index(records: DataFrame, path: str) -> None:
+    """The inverted index as a table in folders by the token's hash, sorted by token; written at ingest, appended to for new rows.
+
+    Rows of one token spread over several files where it is frequent: the hash of the row salts the shuffle.
+    """
+    x = inverted(records).withColumn("part", _part(F.col("token")))
+    salt = F.pmod(F.xxhash64("rid"), F.lit(8))
+    x.repartition("part", salt).sortWithinPartitions("part", "token", "rid").write.mode("append").partitionBy("part").parquet(path)
+
+
+def read_index(spark, path: str, q: str) -> DataFrame:
+    """Rows that hold all terms of a query (phrases by all their tokens), reading only the folders of those tokens."""
+    wanted = sorted({x for t in terms_of(q) for x in t})
+    parts = [r.p for r in spark.createDataFrame([(w,) for w in wanted] or [("",)], "token string").select(_part(F.col("token")).alias("p")).distinct().collect()]
+    return lookup(spark.read.parquet(path).where(F.col("part").isin(parts)), wanted)

@@ -202,8 +202,8 @@ def coverage_vs_expected(spark, d):
     return records.coverage(r, r.groupBy("collection").agg(F.countDistinct("record_id").alias("expected")))
 
 
-@query("""select rid, rule from (select rid, unnest(list_filter([case when coalesce(record_id,'')='' then 'empty_id' end, case when coalesce(collection,'')='' then 'empty_collection' end, case when text is null then 'no_left_text' end,
- case when coalesce(pair_type,'')='' then 'no_pair_type' end, case when pair_type='unpaired' and right_text is not null then 'unpaired_with_right' end, case when len(list_filter(coalesce(alternatives,[]), lambda x: x is null))>0 then 'null_alternative' end], lambda x: x is not null)) as rule from records)""")
+@query(f"""select rid, rule from (select rid, unnest(list_filter([case when coalesce(record_id,'')='' then 'empty_id' end, case when coalesce(collection,'')='' then 'empty_collection' end, case when text is null then 'no_left_text' end,
+ case when coalesce(pair_type,'')='' then 'no_pair_type' end, case when pair_type='unpaired' and right_text is not null then 'unpaired_with_right' end, case when {STRIP.of("coalesce(language,'')")}='' then 'no_language' end, case when {STRIP.of("coalesce(license,'')")}='' then 'no_license' end, case when len(list_filter(coalesce(alternatives,[]), lambda x: x is null))>0 then 'null_alternative' end], lambda x: x is not null)) as rule from records)""")
 def record_violations(spark, d):
     return records.violations(table(spark, d, "records"))
 
@@ -253,10 +253,13 @@ def strip_script_style(spark, d):
     return table(spark, d, "records").where(F.col("text").isNotNull()).select("rid", X.sha(t).alias("h"))
 
 
-@query("""select entry_id, list_filter([case when regexp_matches(lower(outcome), 'rate.limit|too many requests') then 'rate_limit' end, case when regexp_matches(lower(outcome), 'provider returned error|upstream error') then 'provider_error' end], lambda x: x is not null) as found from ledger_entries where outcome is not null""")
+_SAFE = "lower(regexp_replace(outcome, '(?i)sk-[a-z0-9_-]+', '[REDACTED]', 'g'))"
+_LABELS = "list_filter([" + ", ".join(f"case when regexp_matches({_SAFE}, '{p}') then '{k}' end" for k, p in X.ERROR_LABELS) + "], lambda x: x is not null)"
+
+
+@query(f"select entry_id, case when len(found) > 0 then found else ['unclassified_provider_error'] end as found from (select entry_id, {_LABELS} as found from ledger_entries where outcome is not null)")
 def ledger_outcome_labels(spark, d):
-    x = table(spark, d, "ledger_entries").where(F.col("outcome").isNotNull()).select("entry_id", X.error_labels(F.col("outcome")).alias("found"))
-    return x.select("entry_id", F.filter("found", lambda k: k.isin("rate_limit", "provider_error")).alias("found"))
+    return table(spark, d, "ledger_entries").where(F.col("outcome").isNotNull()).select("entry_id", X.error_labels(F.col("outcome")).alias("found"))
 
 
 # --- search -----------------------------------------------------------------------------------------------
@@ -400,10 +403,16 @@ def greedy_dedup_queue(spark, d):
     return sampling.greedy_queue(c)
 
 
-@query("""select sampling_group, coalesce(split,'none') as split, count(*) as n, sum(selected_source_chars)::bigint as chars, count(distinct source_id) as sources, count(distinct selected_source_text) as texts from enrichment_queue group by 1, 2""")
+DIMENSIONS = ("sampling_group", "split", "collection", "source_language", "target_language", "authorship_status", "existing_pair_type")
+
+
+@query(f"""select d.k as dimension, d.v as value, count(*) as n, sum(selected_source_chars)::bigint as chars, count(distinct source_id) as sources, count(distinct selected_source_text) as texts from
+ (select *, unnest([{", ".join(f"{{'k': '{x}', 'v': coalesce({x}, 'none')}}" for x in DIMENSIONS)}]) as d from enrichment_queue) group by 1, 2""")
 def queue_counts(spark, d):
     q = table(spark, d, "enrichment_queue")
-    return q.groupBy("sampling_group", F.coalesce("split", F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.sum("selected_source_chars").cast("long").alias("chars"), F.countDistinct("source_id").alias("sources"), F.countDistinct("selected_source_text").alias("texts"))
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("dimension"), F.coalesce(x, F.lit("none")).alias("value")) for x in DIMENSIONS]))
+    x = q.select("selected_source_chars", "source_id", "selected_source_text", each.alias("d")).select("*", "d.*")
+    return x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("selected_source_chars").cast("long").alias("chars"), F.countDistinct("source_id").alias("sources"), F.countDistinct("selected_source_text").alias("texts"))
 
 
 # --- enrichment -----------------------------------------------------------------------------------------------
@@ -495,9 +504,15 @@ def qa_flag_attach(spark, d):
     return audit.attach_flags(o, _flags(spark, d), ["pair_id", "model", "text_sha"])
 
 
-@query(f"select pair_id, model, text_sha, status from {FLAGS} f where not exists (select 1 from enrichment_pairs p where p.pair_id=f.pair_id and p.model=f.model and sha256(upper(p.text))=f.text_sha)")
+FIRST = "(select queue_id, arg_min(pair_id, (created_at, pair_id)) pair_id from enrichment_pairs where text is not null group by 1)"
+
+
+@query(f"select pair_id, model, text_sha, status from {FLAGS} f where pair_id not in (select pair_id from {FIRST})")
 def unused_flags(spark, d):
-    o = table(spark, d, "enrichment_pairs").select("pair_id", "model", X.sha(F.upper("text")).alias("text_sha"))
+    """Flags whose output is not the first answer to its queue row, the one that is put out."""
+    p = table(spark, d, "enrichment_pairs").where("text is not null")
+    first = p.groupBy("queue_id").agg(F.min_by("pair_id", F.struct("created_at", "pair_id")).alias("pair_id")).select("pair_id")
+    o = p.join(first, "pair_id", "left_semi").select("pair_id", "model", X.sha(F.col("text")).alias("text_sha"))
     return audit.unused_flags(o, _flags(spark, d), ["pair_id", "model", "text_sha"])
 
 
@@ -560,12 +575,12 @@ def budget_replay(spark, d):
 # --- ingest and streams -------------------------------------------------------------------------------------
 
 
-@query(f"""with h as (select record_id, rid, {DIGEST} as d, row_number() over (partition by record_id order by ingested_at, rid) = 1 as is_first from records), base as (select record_id, d from h where is_first), batch as (select record_id, d from h)
- select b.record_id, case when count(distinct b.d) > 1 or not bool_or(b.d = base.d) then 'conflict' else 'skip' end as action from batch b join base using (record_id) group by 1""")
+@query(f"""with h as (select record_id, {DIGEST} as d, ingested_at < timestamp '2024-07-01' as early from records), base as (select distinct record_id, d from h where early), batch as (select record_id, count(distinct d) v, min(d) d from h where not early or early is null group by 1)
+ select record_id, case when v > 1 or (record_id in (select record_id from base) and (record_id, d) not in (select record_id, d from base)) then 'conflict' when record_id in (select record_id from base) then 'skip' else 'insert' end as action from batch""")
 def incremental_ingest(spark, d):
-    r = table(spark, d, "records").select("record_id", "rid", "ingested_at", _digest().alias("d"))
-    first = records.first_wins(r, "record_id", ["ingested_at", "rid"])
-    return ingest.classify(first.select("record_id", "d"), r.select("record_id", "d"), "record_id", "d")
+    r = table(spark, d, "records").select("record_id", "ingested_at", _digest().alias("d"))
+    early = F.coalesce(F.col("ingested_at") < F.lit("2024-07-01").cast("timestamp_ntz"), F.lit(False))
+    return ingest.classify(r.where(early).select("record_id", "d"), r.where(~early).select("record_id", "d"), "record_id", "d")
 
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -585,8 +600,19 @@ def clean_documents_full(spark, d):
 
 @query()
 def clean_action_totals(spark, d):
-    r = cleaning.cleaned(table(spark, d, "records", spread=True)).select(F.explode("left_result.actions").alias("action", "k"))
-    return r.groupBy("action").agg(F.sum("k").alias("n"))
+    r = cleaning.cleaned(table(spark, d, "records", spread=True))
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}_result.actions").alias("actions"))
+    x = r.select(F.explode(F.array(side("left"), side("right"))).alias("s")).select("s.side", F.explode("s.actions").alias("action", "k"))
+    return x.groupBy("side", "action").agg(F.sum("k").alias("n"))
+
+
+@query()
+def cleaning_length_effect(spark, d):
+    """Lengths before and after the cleaning operator, by collection and side."""
+    r = cleaning.cleaned(table(spark, d, "records", spread=True))
+    side = lambda name, raw: F.struct(F.lit(name).alias("side"), F.length(raw).cast("long").alias("raw"), F.length(f"{name}_result.text").cast("long").alias("clean"))
+    x = r.select("collection", F.explode(F.array(side("left", "text"), side("right", "right_text"))).alias("s")).select("collection", "s.*").where("raw is not null")
+    return x.groupBy("collection", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_total"), F.sum("clean").alias("clean_total"), F.count_if(F.col("raw") != F.col("clean")).alias("rows_changed"))
 
 
 @query("""select rid, sha256(regexp_replace(trim(regexp_replace(text, '[\\t \\f\\v\\x{a0}\\x{202f}]+', ' ', 'g')), '([A-Za-z\\x{3400}-\\x{9fff}\\])"''”’]) +([,;:!?，。；：！？、])', '\\1\\2', 'g')) as h from records
@@ -606,3 +632,6 @@ def clean_idempotence(spark, d):
 def clean_audit(spark, d):
     a = audit.audit_rows(table(spark, d, "records", spread=True), audit.rules_fingerprint())
     return a.select("rid", "side", "raw_sha", "clean_sha", "raw_chars", "clean_chars", F.size("result.removed").alias("removed"), F.size("result.warnings").alias("warnings"), "rules")
+
+
+from . import checks, exchange  # noqa: E402, F401  they add their queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,20 +60,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files of one query, beside the checkpoints, which all executors share."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder that the cluster names.
 
     Where none is set, a local session makes one of its own; on a cluster that is an error, as a machine-local folder
     would not outlive its executor.
     """
-    spark = df.sparkSession
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
-    return df.checkpoint()
 
 
 _held: list[DataFrame] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -37,19 +38,23 @@ def text_only(export: DataFrame, path: str) -> None:
 
 
 def by_status(gated: DataFrame, path: str) -> None:
-    """Candidates and quarantined rows apart."""
-    for status in ("review_candidate", "quarantined"):
-        publish(gated.where(F.col("quality_status") == status), f"{path}/{status}")
+    """Candidates and quarantined rows apart, as folders of one publication: both are there or none is."""
+    publish(gated.where(F.col("quality_status").isin("review_candidate", "quarantined")), path, ("quality_status",))
 
 
 def csv(df: DataFrame, path: str) -> None:
     publish(df, path, fmt="csv", header="true")
 
 
+PART_ROWS = 100_000  # lines of a part file, so that each can be digested whole
+
+
 def queue(rows: DataFrame, path: str) -> dict:
-    """Queue rows as JSON lines with their columns in order of name, and a manifest: rows and a digest of all lines."""
+    """Queue rows as JSON lines with their columns in order of name, and a manifest: rows, the sha256 of each part in order
+    of name, and the sha256 of those digests."""
     lines = rows.select(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("value"))
-    publish(lines, path, fmt="text")
-    written = rows.sparkSession.read.text(path)
-    total = written.agg(F.count(F.lit(1)).alias("n"), F.hex(F.bit_xor(F.xxhash64("value"))).alias("d")).first()
-    return {"rows": total.n, "digest": total.d}
+    publish(lines, path, fmt="text", maxRecordsPerFile=str(PART_ROWS))
+    spark = rows.sparkSession
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    digests = [r.d for r in parts.select("path", F.sha2("content", 256).alias("d")).orderBy("path").collect()]  # one for each part file
+    return {"rows": spark.read.text(path).count(), "parts": digests, "digest": hashlib.sha256("".join(digests).encode()).hexdigest()}
