@@ -27,7 +27,8 @@ BITS_MOST, BITS_PER_KEY = 1 << 27, 40
 GRAM, COUNTERS, COUNTERS_MOST = 3, 1 << 19, 1 << 22  # how common a stretch of text is, is read off a sketch of so many counters
 LENGTHS, RARE = (3, 5, 7, 9, 12, 16), 48  # lengths that a window may have; how often a rare stretch may occur beyond the sketch's noise
 NOISE_MOST = 64  # a sketch whose usual counter is beyond this tells nothing: windows are then as long as they can be
-HOT, HOT_LIST = 1 << 14, 1 << 20  # a window in more training texts is split; so many of such windows are broadcast
+HOT, HOT_LIST = 1 << 12, 1 << 20  # a window in more training texts is split; so many of such windows are broadcast
+ZONE = 32  # tokens: windows meet only where they may stand, by zones of so many positions
 SIGNATURE = [f"sig_{i}" for i in range(2)]
 SIGNATURE_TYPES = ", ".join(f"{x} long" for x in SIGNATURE)
 
@@ -369,17 +370,27 @@ def verified(candidates: DataFrame) -> DataFrame:
     return candidates.mapInArrow(run, "cls_a long, cls_b long, edits int")
 
 
-def split_hot(e: DataFrame, t: DataFrame, hot: int = HOT, listed: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the window join with a salt: windows in more than hot training texts are split into parts of that size.
+def zoned(e: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the zone of their position; the i-th window of an evaluation text stands in those within i tokens.
 
-    The evaluation side of such a window is repeated for each part, so no task gets a hot window whole.
+    A common window then meets only the training texts that have it about there, not all of them.
     """
-    counts = held(t.groupBy("seg").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("seg", F.ceil(F.col("k") / hot).cast("int").alias("parts")))
+    zone = lambda at: F.floor(F.greatest(at, F.lit(0)) / ZONE).cast("int")
+    e = e.withColumn("zone", F.explode(F.sequence(zone(F.col("at") - F.col("i")), zone(F.col("at") + F.col("i")))))
+    return e, t.withColumn("zone", zone(F.col("at")))
+
+
+def split_hot(e: DataFrame, t: DataFrame, keys: tuple[str, ...] = ("seg", "zone"), hot: int = HOT, listed: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the window join with a salt: keys of more than hot training windows are split into parts of that size.
+
+    The evaluation side of such a key is repeated for each part, so no task gets a hot window whole.
+    """
+    counts = held(t.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select(*keys, F.ceil(F.col("k") / hot).cast("int").alias("parts")))
     if counts.limit(listed + 1).count() <= listed:
         counts = F.broadcast(counts)
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    e = e.join(counts, "seg", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    t = t.join(counts, "seg", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
+    e = e.join(counts, [*keys], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    t = t.join(counts, [*keys], "left").withColumn("salt", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
     return e, t
 
 
@@ -400,7 +411,8 @@ def close_classes(rows: DataFrame) -> DataFrame:
     while bits < min(BITS_MOST, BITS_PER_KEY * keys):
         bits *= 2
     field = share(seen_bits(segs, bits))
-    e, t = split_hot(segs, held(windows(tr, field, bits)))
+    e, t = zoned(segs, windows(tr, field, bits))
+    e, t = split_hot(e, held(t))
     e, t = e.alias("e"), t.alias("t")
     # with k of at most tau edits, some window i is whole, has at most i + k - tau edits before it and tau - i behind it
     tau = F.floor(F.col("e.n") / SHARE)
@@ -408,6 +420,7 @@ def close_classes(rows: DataFrame) -> DataFrame:
     k = F.floor(F.least("e.n", "t.n") / SHARE)
     near = (
         (F.col("e.seg") == F.col("t.seg"))
+        & (F.col("e.zone") == F.col("t.zone"))
         & (F.col("e.salt") == F.col("t.salt"))
         & (F.col("e.cls") != F.col("t.cls"))
         & (F.abs(more) <= k)

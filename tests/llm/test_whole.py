@@ -130,7 +130,7 @@ def test_hot_windows_are_split_without_loss(spark):
     t = spark.createDataFrame([(1, c) for c in range(100, 150)] + [(2, 7), (3, 8)], "seg long, cls long")
     want = e.alias("e").join(t.alias("t"), "seg").count()
     for listed in (10, 0):
-        a, b = overlap.split_hot(e, t, 8, listed)
+        a, b = overlap.split_hot(e, t, ("seg",), 8, listed)
         assert a.where("seg = 1").count() == 4 * 7 and a.where("seg = 2").count() == 4
         assert a.join(b, ["seg", "salt"]).count() == want == 204
 
