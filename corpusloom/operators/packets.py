@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import hmac
 import json
@@ -65,19 +66,37 @@ def _ids(x, known: set[str]) -> bool:
     return isinstance(x, list) and all(isinstance(i, str) for i in x) and len(set(x)) == len(x) and set(x) <= known
 
 
-def _source_inside(value, known: set[str], code: bool = False) -> str:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if not code and k.replace("-", "_").replace(" ", "_").lower() in SOURCE_FIELDS:
-                return "source_metadata_in_claim"
-            if not code and k == "claim_id" and v not in known or not code and k == "claim_ids" and not _ids(v, known):
-                return "unknown_reference"
-            bad = _source_inside(v, known, code or k == "code")
-            if bad:
-                return bad
-    if isinstance(value, list):
-        return next((b for b in (_source_inside(v, known, code) for v in value) if b), "")
-    return ""
+def entries(value):
+    """Every (mapping, key) within a value, in no set order; what stands under a key named code is not entered."""
+    todo = [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += node
+        elif isinstance(node, dict):
+            for k in node:
+                yield node, k
+            todo += [v for k, v in node.items() if k != "code"]
+
+
+def unfit(value, known: set[str]) -> str:
+    """Why a claim's qualifiers do not do: they tell where a text came from, or name claims that are not there."""
+    found = {k.replace("-", "_").replace(" ", "_").lower() for _, k in entries(value)} & SOURCE_FIELDS
+    if found:
+        return "source_metadata_in_claim"
+    lost = any(k == "claim_id" and node[k] not in known or k == "claim_ids" and not _ids(node[k], known) for node, k in entries(value))
+    return "unknown_reference" if lost else ""
+
+
+def renamed(value, names: dict[str, str]):
+    """A copy of the value whose references to claims bear the new names."""
+    out = copy.deepcopy(value)
+    for node, k in list(entries(out)):
+        if k == "claim_id":
+            node[k] = names[node[k]]
+        elif k == "claim_ids":
+            node[k] = [names[i] for i in node[k]]
+    return out
 
 
 def problems(doc) -> list[str]:
@@ -101,7 +120,7 @@ def problems(doc) -> list[str]:
         say(c["polarity"] not in ("positive", "negative"), "polarity")
         say(not _ids(c["depends_on"], known), "unknown_dependency")
         say(isinstance(c["depends_on"], list) and c["id"] in c["depends_on"], "self_dependency")
-        found = _source_inside(c["qualifiers"], known)
+        found = unfit(c["qualifiers"], known)
         say(found, found)
     if not out:
         say(has_cycle({c["id"]: c["depends_on"] for c in claims}), "dependency_cycle")
@@ -120,14 +139,6 @@ def problems(doc) -> list[str]:
     return out
 
 
-def _remap(value, names: dict[str, str], code: bool = False):
-    if isinstance(value, list):
-        return [_remap(v, names, code) for v in value]
-    if isinstance(value, dict):
-        return {k: v if code or k == "code" else names[v] if k == "claim_id" else [names[i] for i in v] if k == "claim_ids" else _remap(v, names) for k, v in value.items()}
-    return value
-
-
 def packet(doc: dict, seed: str) -> dict:
     """The document's claims under keyed ids, in keyed order, never in the order they came in, without their places."""
     mac = lambda *parts: hmac.new(seed.encode(), json.dumps([doc["article_id"], *parts], ensure_ascii=False).encode(), hashlib.sha256).hexdigest()
@@ -135,7 +146,7 @@ def packet(doc: dict, seed: str) -> dict:
     order = sorted(doc["claims"], key=lambda c: mac("order", c["id"]))
     if len(order) > 1 and order == doc["claims"]:
         order = order[1:] + order[:1]
-    kept = [{k: names[c["id"]] if k == "id" else [names[i] for i in c[k]] if k == "depends_on" else _remap(c[k], names) for k in CLAIM_FIELDS if k != "source_locator"} for c in order]
+    kept = [{k: names[c["id"]] if k == "id" else [names[i] for i in c[k]] if k == "depends_on" else renamed(c[k], names) for k in CLAIM_FIELDS if k != "source_locator"} for c in order]
     return {"packet_id": "p_" + mac("packet")[:20], "language": doc["language"], "claims": kept}
 
 

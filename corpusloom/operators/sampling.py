@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..session import checkpointed
+from ..session import checkpointed, held
 
 
 def round_robin(rows: DataFrame, key: str, stratum: str, quota: int, seed: str) -> DataFrame:
@@ -46,7 +45,7 @@ def greedy_queue(candidates: DataFrame) -> DataFrame:
     are; what long chains leave after ROUNDS goes by connected keys, with the loop in each group, over hashes only.
     """
     keys = F.array(F.concat(F.lit("r"), F.col("record_id")), F.concat(F.lit("t"), F.col("selected_hash")), F.concat(F.lit("t"), F.col("original_hash")), F.concat(F.lit("d"), F.col("doc_id")))
-    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    candidates = held(candidates)
     edges = candidates.select("place", F.explode(F.array_distinct(F.array_compact(keys))).alias("k"))
     # a key that occurs once decides nothing
     edges = checkpointed(edges.join(edges.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "k"))
@@ -75,7 +74,7 @@ def _by_groups(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """The same by connected keys (every key occurring once drops out by a count), one Python loop for each group."""
     label = edges.groupBy("k").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     comp = edges.join(label.select("k", "least"), "k").groupBy("place").agg(F.min("least").alias("comp"))
-    # min-label rounds over shared keys; each halves what is left to join, and the count of changes ends them
+    # min-label rounds over shared keys, as many as the longest chain of shared keys is long; the count of changes ends them
     while True:
         by_key = edges.join(comp, "place").groupBy("k").agg(F.min("comp").alias("c"))
         nxt = edges.join(by_key, "k").groupBy("place").agg(F.min("c").alias("new"))
