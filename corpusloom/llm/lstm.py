@@ -1,8 +1,9 @@
 """A bidirectional LSTM over characters with a linear-chain CRF on top, trained and run in numpy.
 
-Sequences are sorted by falling length as in ``gru``.  The gates are piecewise linear (a quarter of the
-argument plus a half, kept within 0 and 1), which costs a fraction of the logistic function.  A step reads two
-characters, each by a table of its own, and gives the tag scores of both.  The CRF is trained by forward-backward and decoded by Viterbi, over whole batches.
+The input gate is coupled to the forget gate (1 - forget), and the gates are piecewise linear (a quarter of the
+argument plus a half, kept within 0 and 1).  Sequences are sorted by falling length and their symbols laid out step by
+step, so that the ones alive at any step lie side by side and no step gathers or scatters states.  The CRF is trained by
+forward-backward and decoded by Viterbi, over whole batches.
 """
 
 from __future__ import annotations
@@ -13,73 +14,78 @@ from .gru import _alive
 
 
 def init(symbols: int, hidden: int, tags: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Columns of the step weights: forget gate, output gate, candidate."""
     p = {}
     for d in "fb":
-        for slot in "xy":
-            p[d + slot] = (rng.standard_normal((symbols, 4 * hidden)) * 0.3).astype(np.float32)
-        p[d + "u"] = (rng.standard_normal((hidden, 4 * hidden)) / np.sqrt(hidden)).astype(np.float32)
-        p[d + "b"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
-        p[d + "o"] = (rng.standard_normal((hidden, 2 * tags)) / np.sqrt(hidden)).astype(np.float32)
-    p["ob"] = np.zeros(2 * tags, np.float32)
+        p[d + "x"] = (rng.standard_normal((symbols, 3 * hidden)) * 0.3).astype(np.float32)
+        p[d + "u"] = (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32)
+        p[d + "b"] = np.concatenate([np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
+        p[d + "o"] = (rng.standard_normal((hidden, tags)) / np.sqrt(hidden)).astype(np.float32)
+    p["ob"] = np.zeros(tags, np.float32)
     p["tr"] = np.zeros((tags, tags), np.float32)
     return p
 
 
-def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False, out: np.ndarray | None = None):
-    """Hidden state at every step of data (steps, 2); gates in the order input, forget, output, candidate."""
+def packed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences alive at each step, where each step begins, and the flat position behind each place of the layout."""
+    alive = _alive(size)
+    head = np.concatenate([[0], np.cumsum(alive)])
+    step = np.repeat(np.arange(len(alive)), alive)
+    return alive, head, start[np.arange(head[-1]) - head[step]] + step
+
+
+def states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray, scores: np.ndarray | None = None):
+    """Hidden state at every place of the layout and what training needs; with scores their part of the tag scores is added there instead."""
     h = p[d + "u"].shape[0]
-    slope = np.concatenate([np.full(3 * h, 0.25), np.ones(h)]).astype(np.float32)
-    middle = np.concatenate([np.full(3 * h, 0.5), np.zeros(h)]).astype(np.float32)
-    x, y, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "y"] * slope, p[d + "u"] * slope
-    n = len(size)
-    out = np.zeros((len(data), h), np.float32) if out is None else out
-    hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-    xg, xc = np.ascontiguousarray(x[:, : 3 * h]), np.ascontiguousarray(x[:, 3 * h :])
-    yg, yc = np.ascontiguousarray(y[:, : 3 * h]), np.ascontiguousarray(y[:, 3 * h :])
-    one, two = np.ascontiguousarray(data[:, 0]), np.ascontiguousarray(data[:, 1])
-    ug, uc = np.ascontiguousarray(u[:, : 3 * h]), np.ascontiguousarray(u[:, 3 * h :])
-    gates, cand, fed, bent = (np.empty((n, k), np.float32) for k in (3 * h, h, 3 * h, h))
-    place = start.copy() if d == "f" else start + size - 1
-    step = 1 if d == "f" else -1
+    slope = np.concatenate([np.full(2 * h, 0.25), np.ones(h)]).astype(np.float32)
+    middle = np.concatenate([np.full(2 * h, 0.5), np.zeros(h)]).astype(np.float32)
+    x, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope
+    xg, xc, ug, uc = (np.ascontiguousarray(part) for m in (x, u) for part in (m[:, : 2 * h], m[:, 2 * h :]))
+    n = int(alive[0]) if len(alive) else 0
+    keep = scores is None
+    out = np.empty((len(symbol), h), np.float32) if keep else None
+    part = None if keep else np.empty((n, scores.shape[1]), np.float32)
+    hid, cell, cand, fed, bent = (np.zeros((n, h), np.float32) for _ in range(5))
+    gates, more = np.empty((n, 2 * h), np.float32), np.empty((n, 2 * h), np.float32)
+    low, high = np.zeros((n, 2 * h), np.float32), np.ones((n, 2 * h), np.float32)  # arrays: faster than bounds that are numbers
     saved = []
-    for m in _alive(size) if n else ():
-        at = place[:m]
-        a, b = one[at], two[at]
-        state, c, s, g, tc = hid[:m], cell[:m], gates[:m], cand[:m], bent[:m]
-        small = fed.reshape(-1)[: m * h].reshape(m, h)
-        np.take(xg, a, 0, s, "clip")
-        np.take(xc, a, 0, g, "clip")
-        s += np.take(yg, b, 0, fed[:m], "clip")
-        g += np.take(yc, b, 0, small, "clip")
-        s += np.matmul(state, ug, out=fed[:m])
-        g += np.matmul(state, uc, out=small)
-        np.maximum(s, 0, out=s)
-        np.minimum(s, 1, out=s)
+    for t in range(len(alive)) if d == "f" else range(len(alive) - 1, -1, -1):
+        m, at = alive[t], head[t]
+        one = symbol[at : at + m]
+        s, a, g, b, c, state, tc = gates[:m], more[:m], cand[:m], fed[:m], cell[:m], hid[:m], bent[:m]
+        np.take(xg, one, 0, s, "clip")
+        np.take(xc, one, 0, g, "clip")
+        s += np.matmul(state, ug, out=a)
+        g += np.matmul(state, uc, out=b)
+        np.maximum(s, low[:m], out=s)
+        np.minimum(s, high[:m], out=s)
         np.tanh(g, out=g)
         if keep:
             before = state.copy(), c.copy()
-        c *= s[:, h : 2 * h]
-        c += np.multiply(s[:, :h], g, out=tc)
+        c -= g
+        c *= s[:, :h]
+        c += g
         np.tanh(c, out=tc)
-        if keep:
-            saved.append((at.copy(), np.concatenate([s, g], 1), tc.copy(), *before))
-        np.multiply(tc, s[:, 2 * h :], out=state)
-        out[at] = state
-        at += step
-    return (out, saved) if keep else out
+        np.multiply(tc, s[:, h:], out=state)
+        if not keep:  # while the states are at hand
+            scores[at : at + m] += np.matmul(state, p[d + "o"], out=part[:m])
+        else:
+            out[at : at + m] = state
+            saved.append((t, s.copy(), g.copy(), tc.copy(), *before))
+    return out, saved
 
 
 def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tag scores (positions, tags) of symbols at even starts, each sequence padded to an even size."""
+    """Tag scores (positions, tags) of the symbols of all sequences."""
     order = np.argsort(-size, kind="stable")
-    start, size, data = start[order] // 2, size[order] // 2, data.reshape(-1, 2)
-    h = p["fu"].shape[0]
-    both = np.empty((len(data), 2 * h), np.float32)
-    states(p, "f", data, start, size, out=both[:, :h])
-    states(p, "b", data, start, size, out=both[:, h:])
-    e = both @ np.concatenate([p["fo"], p["bo"]])
-    e += p["ob"]
-    return e.reshape(len(data) * 2, -1)
+    alive, head, place = packed(start[order], size[order])
+    symbol = data[place]
+    e = np.repeat(p["ob"][None], len(symbol), 0)
+    for d in "fb":
+        states(p, d, symbol, alive, head, e)
+    out = np.empty((len(data), e.shape[1]), np.float32)
+    out[place] = e
+    return out
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -88,56 +94,60 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def crf_gradients(e: np.ndarray, tr: np.ndarray, tag: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean loss per sequence and gradients, for a batch (sequences, length, tags) of equal length."""
-    n, length, k = e.shape
-    a = np.empty_like(e)
-    a[:, 0] = e[:, 0]
+    """Mean loss per sequence and gradients, for a batch (length, sequences, tags) of equal length."""
+    length, n, k = e.shape
+    a, b = np.empty_like(e), np.zeros_like(e)
+    a[0] = e[0]
     for t in range(1, length):
-        a[:, t] = _lse(a[:, t - 1, :, None] + tr[None], 1) + e[:, t]
-    b = np.zeros_like(e)
+        a[t] = _lse(a[t - 1, :, :, None] + tr[None], 1) + e[t]
     for t in range(length - 2, -1, -1):
-        b[:, t] = _lse(tr[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-    z = _lse(a[:, -1], 1)
-    q = np.exp(a + b - z[:, None, None])
-    pair = a[:, :-1, :, None] + tr[None, None] + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-    gtr = np.exp(pair).sum((0, 1))
-    rows, cols = np.arange(n)[:, None], np.arange(length)[None]
-    score = e[rows, cols, tag].sum(1) + tr[tag[:, :-1], tag[:, 1:]].sum(1)
+        b[t] = _lse(tr[None] + (e[t + 1] + b[t + 1])[:, None, :], 2)
+    z = _lse(a[-1], 1)
+    q = np.exp(a + b - z[None, :, None])
+    left, right = a[:-1] - z[None, :, None] / 2, e[1:] + b[1:] - z[None, :, None] / 2
+    top = left.max(2, keepdims=True), right.max(2, keepdims=True)
+    w = np.exp(left - top[0]) * np.exp(np.minimum(top[0] + top[1], 80.0))
+    gtr = np.einsum("tni,tnj->ij", w, np.exp(right - top[1])) * np.exp(tr)
+    rows, cols = np.arange(length)[:, None], np.arange(n)[None]
+    score = e[rows, cols, tag].sum(0) + tr[tag[:-1], tag[1:]].sum(0)
     q[rows, cols, tag] -= 1
-    np.subtract.at(gtr, (tag[:, :-1], tag[:, 1:]), 1)
+    np.subtract.at(gtr, (tag[:-1], tag[1:]), 1)
     return float((z - score).mean()), q / n, gtr / n
 
 
 def gradients(p: dict, data: np.ndarray, tag: np.ndarray) -> tuple[dict, float]:
-    """data and tag: (sequences, length), the length even."""
-    n, length = data.shape
-    steps = length // 2
-    flat, start, size = data.reshape(-1, 2), np.arange(n) * steps, np.full(n, steps)
-    runs = {d: states(p, d, flat, start, size, True) for d in "fb"}
-    e = (runs["f"][0] @ p["fo"] + runs["b"][0] @ p["bo"] + p["ob"]).reshape(n, length, -1)
+    """data and tag: (length, sequences)."""
+    length, n = data.shape
+    flat = data.reshape(-1)
+    alive, head = np.full(length, n), np.arange(length + 1) * n
+    runs = {d: states(p, d, flat, alive, head) for d in "fb"}
+    e = (runs["f"][0] @ p["fo"] + runs["b"][0] @ p["bo"] + p["ob"]).reshape(length, n, -1)
     loss, ge, gtr = crf_gradients(e.astype(np.float64), p["tr"].astype(np.float64), tag)
-    ge = ge.reshape(n * steps, -1).astype(np.float32)
+    ge = ge.reshape(length * n, -1).astype(np.float32)
     g = {"ob": ge.sum(0), "tr": gtr.astype(np.float32)}
     for d in "fb":
         out, saved = runs[d]
         h = out.shape[1]
         g[d + "o"] = out.T @ ge
-        up = ge @ p[d + "o"].T
+        up = (ge @ p[d + "o"].T).reshape(length, n, h)
         u = p[d + "u"]
-        gx, gy, gu = np.zeros_like(p[d + "x"]), np.zeros_like(p[d + "y"]), np.zeros_like(u)
+        gu = np.zeros_like(u)
+        inner = np.empty((length, n, 3 * h), np.float32)
         dhid, dcell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        for at, gate, tc, hid, cell in reversed(saved):
-            i, f, o, c = (gate[:, j * h : (j + 1) * h] for j in range(4))
-            dh = dhid + up[at]
+        for t, s, c, tc, hid, cell in reversed(saved):
+            f, o = s[:, :h], s[:, h:]
+            dh = dhid + up[t]
             dc = dcell + dh * o * (1 - tc * tc)
-            on = ((gate[:, : 3 * h] > 0) & (gate[:, : 3 * h] < 1)) * np.float32(0.25)
-            dg = np.concatenate([np.concatenate([dc * c, dc * cell, dh * tc], 1) * on, dc * i * (1 - c * c)], 1)
+            on = ((s > 0) & (s < 1)) * np.float32(0.25)
+            dg = inner[t]
+            dg[:, : 2 * h] = np.concatenate([dc * (cell - c), dh * tc], 1) * on
+            dg[:, 2 * h :] = dc * (1 - f) * (1 - c * c)
             gu += hid.T @ dg
-            np.add.at(gx, flat[at, 0], dg)
-            np.add.at(gy, flat[at, 1], dg)
             dhid = dg @ u.T
             dcell = dc * f
-        g[d + "x"], g[d + "y"], g[d + "u"], g[d + "b"] = gx, gy, gu, gx.sum(0)
+        inner = inner.reshape(length * n, 3 * h)
+        gx = np.stack([np.bincount(flat, inner[:, j], len(p[d + "x"])) for j in range(3 * h)], 1).astype(np.float32)
+        g[d + "x"], g[d + "u"], g[d + "b"] = gx, gu, inner.sum(0)
     return g, loss
 
 

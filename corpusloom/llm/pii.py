@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from . import codepoints as C
 from . import gru, lstm
+from .pii_carriers import JA_FAMILY, JA_GIVEN, ZH_FAMILY, ZH_GIVEN
 from .pii_labels import KINDS
 from .textio import map_text
 
 WINDOW, MARGIN = 1024, 32
 HAN_BUCKETS = 512
 READ = 1 << 20  # bytes read at once
-SYMBOLS = 128 + 192 + 64 + 192 + HAN_BUCKETS + 4
+OWN = "".join(sorted({*ZH_FAMILY, *ZH_GIVEN, *"".join(JA_FAMILY + JA_GIVEN), *"号路街巷市区县省镇村室栋楼町丁目番都道府県州"} - {*map(chr, range(0x3400))}))  # Han letters that have a symbol of their own
+SYMBOLS = 128 + 192 + 64 + 192 + HAN_BUCKETS + len(OWN) + 4
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 
@@ -39,6 +41,7 @@ def symbol_table() -> np.ndarray:
     t[0x3000] = 32
     t[0x3040:0x3100] = 384 + np.arange(192)
     t[0x3400:0xA000] = 576 + (np.arange(0x3400, 0xA000) * 40503 >> 4) % HAN_BUCKETS
+    t[[ord(c) for c in OWN]] = 576 + HAN_BUCKETS + np.arange(len(OWN))
     t[0xA0] = 32
     t[0x2010:0x2016] = 45
     t[[0x2018, 0x2019]] = 39
@@ -73,17 +76,14 @@ def tag(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     last = i == pieces[row] - 1
     b = np.where(last, size[row], a + WINDOW)
     n = b - a
-    even = n + n % 2  # a step of the network reads two characters
-    at = np.concatenate([[0], np.cumsum(even)])
-    inner = np.arange(at[-1]) - np.repeat(at[:-1], even)
-    real = inner < np.repeat(n, even)
-    src = np.where(real, inner + np.repeat(off[row] + a, even), 0)
-    data = np.where(real, symbol_table()[C.clip(cp)][src], 10)
+    at = np.concatenate([[0], np.cumsum(n)])
+    inner = np.arange(at[-1]) - np.repeat(at[:-1], n)
+    src = inner + np.repeat(off[row] + a, n)
     p = net()
     live = np.flatnonzero(n > 0)
-    e = lstm.emissions(p, data, at[:-1][live], even[live])
+    e = lstm.emissions(p, symbol_table()[C.clip(cp)][src], at[:-1][live], n[live])
     tags = lstm.viterbi(e, p["tr"], *lstm.lively(e, p["tr"], at[:-1][live], n[live]))
-    take = real & (inner >= np.repeat(np.where(a > 0, MARGIN, 0), even)) & (inner < np.repeat(np.where(last, n, n - MARGIN), even))
+    take = (inner >= np.repeat(np.where(a > 0, MARGIN, 0), n)) & (inner < np.repeat(np.where(last, n, n - MARGIN), n))
     out = np.zeros(len(cp), np.int8)
     out[src[take]] = tags[take]
     return out
@@ -102,9 +102,12 @@ def tagged_spans(tags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, np.append(stop, len(tags))[at], kind[start] - 1
 
 
-_AT = r"(?:@|\s?@\s?|\s?[\[(]\s?(?:at|AT)\s?[\])]\s?|\sAT\s|\sat\s|\s(?:arobase|arroba)\s)"
-_DOT = r"(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\sDOT\s|\sdot\s|\s(?:point|punto|punkt)\s)"
-EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])")
+_LEFT = r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s(?:dot|DOT)\s[A-Za-z0-9._%+-]+)?"
+_AT = r"(?:@|\s?@\s?|\s?[\[(]\s?(?:at|AT)\s?[\])]\s?|\sAT\s|\s(?:arobase|arroba)\s)"
+_SAID = r"(?:\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\sDOT\s|\sdot\s|\s(?:point|punto|punkt)\s)"
+_DOT = rf"(?:\.|{_SAID})"
+# a bare "at" makes an address only with its dots said too
+EMAIL = re.compile(rf"{_LEFT}(?:{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}|\sat\s[A-Za-z0-9-]+(?:{_SAID}[A-Za-z0-9-]+)*{_SAID})[A-Za-z]{{2,}}(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[+(（]?\d(?:[\d ().（）/+\-‐-–ー−]*\d)?")
 CODE = re.compile(r"(?:[A-Z]{1,3}[ -]?)?\d(?:[ .-]?[\dA-Z](?![a-z]))*")
 TITLE = re.compile(r"^(?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Mme|Mlle|M|Hr|Fr)\.?|Frau|Herrn?|Madame|Monsieur|Señora?|Doña|Don)\s+(?=\S)")

@@ -1,76 +1,77 @@
-"""Carrier sentences that the tagger's training never sees; slots as in pii_carriers."""
+"""Carrier sentences that the tagger's training never sees; slots as in pii_carriers.
+
+They share neither sentences nor the verbs, objects and roles that training composes carriers from.
+"""
 
 HELD = {
     "en": r"""
-We were told that {N} had left the building before the alarm.
-Nobody but {N} knew where the ledger was kept.
-The painting was bought by {N} at an auction in spring.
-After the talk {N} stayed for questions, then {N} locked the hall.
-Our neighbour {N} feeds the cats when we travel.
-Yours truly,\n{N}
-The invoice was signed by {N} and countersigned by {N}.
-Any complaint should go to {E}, not to the front desk.
-Try {P} first, then {P} if nobody picks up.
-The clinic at {A} opens at nine.
-Her national identity number, {I}, was misspelt.
-Mr {N} of the {o} declined to comment on order {k}.
-I met {N}, the new gardener, near the {o}.
-Packages for {A} are left with the porter.
-The {o} repaired pump {k} in two days, see {u}.
+Rumour has it that {N} will retire before Easter.
+The trophy went to {N}, runner-up {N} took silver.
+Please tell {N} the parcel arrived damaged.
+{N} teaches chemistry and lives close to the station.
+Speakers this evening: {N} and {N}.
+Love,\n{N}
+On behalf of {N}, thank you all for coming.
+Questions? Email {E} any time.
+My line is {P}, extension four.
+Our studio moved to {A} last autumn.
+Her ID card number {I} had expired.
+A cheque from {N} reached the {o} yesterday.
+The {o} cancelled shipment {k} because of snow.
 """,
     "de": r"""
-Niemand außer {N} wusste, wo das Kassenbuch lag.
-Das Bild kaufte {N} im Frühling auf einer Auktion.
-Nach dem Vortrag blieb {N} noch für Fragen.
-Unsere Nachbarin {N} füttert die Katzen.
-Beschwerden gehen an {E}, nicht an den Empfang.
-Versuchen Sie es zuerst unter {P}.
-Die Praxis in der {A} öffnet um neun.
-Die Rechnung hat {N} unterschrieben.
-Das {o} reparierte Pumpe {k} in zwei Tagen.
+Gerüchten zufolge geht {N} vor Ostern in Rente.
+Der Pokal ging an {N}, Silber holte {N}.
+Bitte richten Sie {N} aus, dass das Paket beschädigt ankam.
+{N} unterrichtet Chemie und wohnt nahe dem Bahnhof.
+Im Namen von {N} herzlichen Dank.
+Fragen? Jederzeit an {E}.
+Meine Nummer lautet {P}.
+Unser Atelier zog im Herbst in die {A}.
+Das {o} sagte die Lieferung {k} wegen Schnee ab.
 """,
     "fr": r"""
-Personne sauf {N} ne savait où était le registre.
-Le tableau a été acheté par {N} au printemps.
-Après l'exposé, {N} est restée pour les questions.
-Notre voisine {N} nourrit les chats.
-Les plaintes vont à {E}, pas à l'accueil.
-Essayez d'abord le {P}.
-Le cabinet situé {A} ouvre à neuf heures.
-La facture a été signée par {N}.
-{o} a réparé la pompe {k} en deux jours.
+On dit que {N} prendra sa retraite avant Pâques.
+La coupe revient à {N}, l'argent à {N}.
+Dites à {N} que le colis est arrivé abîmé.
+{N} enseigne la chimie et vit près de la gare.
+Au nom de {N}, merci à tous.
+Des questions ? Écrivez à {E}.
+Ma ligne directe : {P}.
+Notre atelier a déménagé au {A}.
+{o} a annulé la livraison {k} à cause de la neige.
 """,
     "es": r"""
-Nadie salvo {N} sabía dónde estaba el libro.
-El cuadro lo compró {N} en primavera.
-Después de la charla {N} se quedó para las preguntas.
-Nuestra vecina {N} da de comer a los gatos.
-Las quejas van a {E}, no a la recepción.
-Pruebe primero el {P}.
-La consulta de {A} abre a las nueve.
-La factura la firmó {N}.
-{o} reparó la bomba {k} en dos días.
+Se rumorea que {N} se jubilará antes de Pascua.
+El trofeo fue para {N}, la plata para {N}.
+Dígale a {N} que el paquete llegó roto.
+{N} enseña química y vive junto a la estación.
+En nombre de {N}, gracias a todos.
+¿Preguntas? Escriba a {E}.
+Mi línea es el {P}.
+Nuestro estudio se mudó a {A}.
+{o} canceló el envío {k} por la nieve.
 """,
     "zh": r"""
-除了{N}，没人知道账本在哪里。
-这幅画是{N}春天买下的。
-讲座结束后，{N}留下来回答问题。
-我们的邻居{N}替我们喂猫。
-投诉请发到{E}。
-请先打{P}试试。
-诊所位于{A}，九点开门。
-发票由{N}签字。
-{o}两天内修好了水泵{k}。
+据传{N}将在复活节前退休。
+冠军是{N}，亚军是{N}。
+麻烦转告{N}包裹破损了。
+{N}教化学，家在车站旁边。
+谨代表{N}感谢各位光临。
+如有疑问请发邮件至{E}。
+我的专线是{P}。
+工作室去年秋天搬到了{A}。
+{o}因下雪取消了货运{k}。
 """,
     "ja": r"""
-{N}以外、帳簿の場所を知る者はいなかった。
-この絵は{N}が春に買った。
-講演のあと、{N}が質問に答えた。
-隣の{N}さんが猫に餌をやる。
-苦情は{E}へお願いします。
-まず{P}にかけてください。
-診療所は{A}にあり、九時に開く。
-請求書には{N}が署名した。
-{o}は二日でポンプ{k}を直した。
+噂では{N}が復活祭の前に引退する。
+優勝は{N}、準優勝は{N}だった。
+荷物が破損していたと{N}に伝えてください。
+{N}は化学を教え、駅のそばに住む。
+{N}を代表して皆様に感謝します。
+ご質問は{E}までどうぞ。
+直通は{P}です。
+工房は昨年の秋に{A}へ移った。
+{o}は雪のため出荷{k}を取りやめた。
 """,
 }
