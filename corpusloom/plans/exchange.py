@@ -60,16 +60,15 @@ def queue_manifest(spark, d):
     return spark.createDataFrame([(said["rows"], same)], "rows long, whole boolean")
 
 
-@query("select doc_id, line_no, line from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as line_no from (select doc_id, string_split(rtrim(text, chr(10)), chr(10)) lines from documents where text is not null and text <> '' and not contains(text, chr(13)))) where false")
+@query("select doc_id, len(string_split(regexp_replace(text, '\\n+$', ''), chr(10)))::bigint as lines, len(string_split(regexp_replace(text, '\\n+$', ''), chr(10)))::bigint as span from documents where text is not null and text <> '' and not contains(text, chr(13))")
 def numbered_lines_roundtrip(spark, d):
-    """Lines out of place after a round trip through text files: none."""
+    """Documents written as lines of text files and read back: the lines of each and the span of their numbers."""
     path = scratch(spark, "lines")
     x = table(spark, d, "documents").where("text is not null and text <> '' and not contains(text, chr(13))").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\n+\z", ""), "\n")).alias("i", "line"))
-    x.select("doc_id", (F.col("i") + 1).alias("line_no"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), (F.col("i") + 1).cast("string"), F.lit("\t"), "line").alias("value")).repartition("doc_id").sortWithinPartitions("doc_id", "line_no").select("value").write.text(path)
-    got = readers.numbered_lines(spark, path)
-    first = got.select("file", F.split("text", "\t")[0].cast("long").alias("doc_id"), F.split("text", "\t")[1].cast("long").alias("said"), "line_no", "text")
-    base = first.groupBy("file", "doc_id").agg(F.min(F.col("line_no") - F.col("said")).alias("lead"))
-    return first.join(base, ["file", "doc_id"]).where(F.col("line_no") - F.col("said") != F.col("lead")).select("doc_id", "line_no", F.col("text").alias("line"))
+    x = x.repartition("doc_id").sortWithinPartitions("doc_id", "i")
+    x.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), "line").alias("value")).write.text(path)
+    got = readers.numbered_lines(spark, path).select("line_no", F.split("text", "\t")[0].cast("long").alias("doc_id"))
+    return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), (F.max("line_no") - F.min("line_no") + 1).alias("span"))
 
 
 @query("select rid, title as a, language as b from records where title is not null and language is not null and not regexp_matches(title, '[\\n\\r]')")
@@ -83,13 +82,16 @@ def parallel_lines_roundtrip(spark, d):
     return z.select(F.col("rid").cast("long").alias("rid"), F.col("title").alias("a"), F.col("language").alias("b"))
 
 
-@query("select collection || '.json' as file, 'changed' as error from collections where false")
+@query("select * from (values ('changed', 1), ('missing', 1)) as t(error, n)")
 def manifest_of_files(spark, d):
-    """Files that differ from the manifest taken when they were written: none."""
+    """Files against their manifest, of which one entry has another digest and one names a file that is not there."""
     path = scratch(spark, "files")
-    table(spark, d, "collections").write.json(path)
-    taken = readers.checksums(spark, f"{path}/part-*").select("file", "sha256")
-    return readers.changed_files(readers.checksums(spark, f"{path}/part-*"), taken)
+    table(spark, d, "records").select("rid", "record_id").write.json(path)
+    now = readers.checksums(spark, f"{path}/part-*").select("file", "sha256")
+    name = now.agg(F.min("file")).first()[0]  # one value
+    taken = now.select("file", F.when(F.col("file") == name, F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
+    gone = spark.createDataFrame([(name + ".gone", "x")], "file string, sha256 string")
+    return readers.changed_files(now, taken.unionByName(gone)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select 'data' as kind, true as some")
