@@ -35,44 +35,49 @@ def packed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray, scores: np.ndarray | None = None):
-    """Hidden state at every place of the layout and what training needs; with scores their part of the tag scores is added there instead."""
+    """Hidden state at every place of the layout and what training needs; with scores the tag scores are put there instead, forward first."""
     h = p[d + "u"].shape[0]
     slope = np.concatenate([np.full(2 * h, 0.25), np.ones(h)]).astype(np.float32)
     middle = np.concatenate([np.full(2 * h, 0.5), np.zeros(h)]).astype(np.float32)
     x, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope
-    xg, xc, ug, uc = (np.ascontiguousarray(part) for m in (x, u) for part in (m[:, : 2 * h], m[:, 2 * h :]))
+    # each gate in an array of its own: no operation then strides over the others
+    (xf, xo, xc), (uf, uo, uc) = ([np.ascontiguousarray(m[:, j * h : (j + 1) * h]) for j in range(3)] for m in (x, u))
     n = int(alive[0]) if len(alive) else 0
     keep = scores is None
-    out = np.empty((len(symbol), h), np.float32) if keep else None
+    states_out = np.empty((len(symbol), h), np.float32) if keep else None
     part = None if keep else np.empty((n, scores.shape[1]), np.float32)
-    hid, cell, cand, fed, bent = (np.zeros((n, h), np.float32) for _ in range(5))
-    gates, more = np.empty((n, 2 * h), np.float32), np.empty((n, 2 * h), np.float32)
-    low, high = np.zeros((n, 2 * h), np.float32), np.ones((n, 2 * h), np.float32)  # arrays: faster than bounds that are numbers
+    bias = None if keep else np.tile(p["ob"], (n, 1))
+    hid, cell, forget, put, cand, fed, bent, low = (np.zeros((n, h), np.float32) for _ in range(8))
+    high = np.ones((n, h), np.float32)  # bounds in arrays: faster than bounds that are numbers
     saved = []
     for t in range(len(alive)) if d == "f" else range(len(alive) - 1, -1, -1):
         m, at = alive[t], head[t]
         one = symbol[at : at + m]
-        s, a, g, b, c, state, tc = gates[:m], more[:m], cand[:m], fed[:m], cell[:m], hid[:m], bent[:m]
-        np.take(xg, one, 0, s, "clip")
-        np.take(xc, one, 0, g, "clip")
-        s += np.matmul(state, ug, out=a)
-        g += np.matmul(state, uc, out=b)
-        np.maximum(s, low[:m], out=s)
-        np.minimum(s, high[:m], out=s)
+        f, o, g, b, c, state, tc = forget[:m], put[:m], cand[:m], fed[:m], cell[:m], hid[:m], bent[:m]
+        for table, weight, gate in ((xf, uf, f), (xo, uo, o), (xc, uc, g)):
+            np.take(table, one, 0, gate, "clip")
+            gate += np.matmul(state, weight, out=b)
+        for gate in (f, o):
+            np.maximum(gate, low[:m], out=gate)
+            np.minimum(gate, high[:m], out=gate)
         np.tanh(g, out=g)
         if keep:
             before = state.copy(), c.copy()
         c -= g
-        c *= s[:, :h]
+        c *= f
         c += g
         np.tanh(c, out=tc)
-        np.multiply(tc, s[:, h:], out=state)
-        if not keep:  # while the states are at hand
-            scores[at : at + m] += np.matmul(state, p[d + "o"], out=part[:m])
+        np.multiply(tc, o, out=state)
+        if keep:
+            states_out[at : at + m] = state
+            saved.append((t, np.concatenate([f, o], 1), g.copy(), tc.copy(), *before))
+        elif d == "f":  # while the states are at hand
+            np.matmul(state, p["fo"], out=scores[at : at + m])
         else:
-            out[at : at + m] = state
-            saved.append((t, s.copy(), g.copy(), tc.copy(), *before))
-    return out, saved
+            q = np.matmul(state, p["bo"], out=part[:m])
+            q += bias[:m]
+            scores[at : at + m] += q
+    return states_out, saved
 
 
 def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -80,7 +85,7 @@ def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) ->
     order = np.argsort(-size, kind="stable")
     alive, head, place = packed(start[order], size[order])
     symbol = data[place]
-    e = np.repeat(p["ob"][None], len(symbol), 0)
+    e = np.empty((len(symbol), len(p["ob"])), np.float32)
     for d in "fb":
         states(p, d, symbol, alive, head, e)
     out = np.empty((len(data), e.shape[1]), np.float32)
@@ -182,9 +187,11 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
     shift = -np.maximum(over.max(1, initial=0), 0)
     into = np.maximum((s[1:, 1:] + shift[:, None]).max(0), s[0, 1:]) - shift
     leave = (s[1:, 0] + shift).max()
-    gain = np.array(e.T, order="C")
-    gain[1:] += into[:, None].astype(np.float32)
-    gain = np.subtract(gain[1:].max(0), gain[0], out=gain[0])
+    gain, more = np.empty(len(e), np.float32), into[:, None].astype(np.float32)
+    for i in range(0, len(e), 4096):  # turned in pieces that stay in the cache
+        t = np.ascontiguousarray(e[i : i + 4096].T)
+        t[1:] += more
+        np.subtract(t[1:].max(0), t[0], out=gain[i : i + 4096])
     gain[start] = np.maximum(gain[start], (e[start, 1:] - shift).max(1) - e[start, 0])
     gain[stop - 1] += max(0.0, shift.max() - leave)
     peak = np.flatnonzero(gain > 0)

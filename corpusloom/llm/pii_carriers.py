@@ -437,6 +437,28 @@ def composed(lang: str, rng) -> str:
         out = re.sub(r"\{([RVOTW])\}", lambda m: pick(rng, p[m[1]].split("|")), form)
     return out[:1].upper() + out[1:] if rng.random() < 0.8 else out
 
+# What stands before numbers that are no personal data, and things of one's own, by language.
+NUMBERED = {
+    "en": ("order|invoice|batch|model|ticket|flight|room|page|version|part|issue|lot|serial|build|article", "my house|my question|your answer|his bag|our plan|her car|their dog|my team|your turn|our shop"),
+    "de": ("Auftrag|Rechnung|Charge|Modell|Ticket|Flug|Zimmer|Seite|Fassung|Teil|Posten|Artikel|Bestellung", "mein Haus|meine Frage|deine Antwort|seine Tasche|unser Plan|ihr Wagen|Ihre Karte|mein Team|unser Laden"),
+    "fr": ("commande|facture|lot|modèle|billet|vol|chambre|page|version|pièce|article|dossier", "ma maison|ma question|ta réponse|son sac|notre plan|sa voiture|leur chien|mon équipe|notre magasin"),
+    "es": ("pedido|factura|lote|modelo|billete|vuelo|habitación|página|versión|pieza|artículo|expediente", "mi casa|mi pregunta|tu respuesta|su bolso|nuestro plan|su coche|mi equipo|nuestra tienda"),
+    "zh": ("订单|发票|批次|型号|票据|航班|房间|页码|版本|零件|货号|工单", "我家|我的问题|你的回答|他的包|我们的计划|她的车"),
+    "ja": ("注文|請求書|ロット|型番|切符|便|部屋|頁|版|部品|品番|案件", "私の家|私の質問|君の答え|彼の鞄|我々の計画|彼女の車"),
+}
+
+
+def aside(lang: str, rng) -> str:
+    """A carrier without personal data: numbered things, and things of one's own that begin a sentence."""
+    p, (numbered, own) = PARTS[lang], NUMBERED[lang]
+    one = lambda x: pick(rng, x.split("|"))
+    tight = lang in ("zh", "ja")
+    gap = "" if tight else " "
+    number = one(numbered) + pick(rng, ["", "号", "：", " "] if tight else [" ", " ", " no. ", " #", ": "]) + "{k}"
+    forms = [one(own) + gap + one(p["V"]) + gap + one(p["O"]), number + gap + one(p["V"]) + gap + one(p["T"]), "{o}" + gap + one(p["V"]) + gap + number, one(p["T"]) + gap + one(own) + gap + one(p["V"]) + gap + number, one(p["R"]) + gap + one(p["V"]) + gap + number]
+    out = forms[rng.integers(len(forms))] + ("。" if tight else ".")
+    return out[:1].upper() + out[1:]
+
 
 def filled(carrier: str, lang: str, rng) -> tuple[str, list[tuple[int, int, int]]]:
     """The carrier with its slots filled, and (start, end, kind) of the personal data."""

@@ -1,4 +1,5 @@
-"""Train the personal-data tagger: python -m corpusloom.llm.train_pii SF_DIR [OUT.npz [HIDDEN [STEPS]]]
+"""Train the personal-data tagger: python -m corpusloom.llm.train_pii SF_DIR [OUT.npz [HIDDEN [STEPS [START.npz]]]]; from START the
+training goes on at half the rate
 
 Three kinds of labelled text are mixed: at most SAMPLE documents with the spans of pii_labels, whose names and figures
 are varied at random; carrier sentences of pii_carriers filled with invented data, among sentences of the documents;
@@ -88,7 +89,7 @@ def put_together(lang: str, sentences: list[str], rng: np.random.Generator) -> t
         x = rng.random()
         own = sentences[rng.integers(len(sentences))]
         if x < 0.85:
-            carrier = made.composed(lang, rng) if x < 0.45 else made.pick(rng, made.lines(lang)) if x < 0.65 else ""
+            carrier = made.aside(lang, rng) if x < 0.1 else made.composed(lang, rng) if x < 0.45 else made.pick(rng, made.lines(lang)) if x < 0.65 else ""
             part, sp = made.filled(carrier, lang, rng) if carrier else inserted(own, lang, rng)
         else:
             part, sp = own, []
@@ -99,7 +100,7 @@ def put_together(lang: str, sentences: list[str], rng: np.random.Generator) -> t
     return text, spans
 
 
-def main(sf_dir: str, out: str = str(Path(__file__).with_name("pii_lstm.npz")), hidden: str = str(HIDDEN), steps: str = str(STEPS)) -> None:
+def main(sf_dir: str, out: str = str(Path(__file__).with_name("pii_lstm.npz")), hidden: str = str(HIDDEN), steps: str = str(STEPS), begin: str = "") -> None:
     rng = np.random.default_rng(10)
     n_steps = int(steps)
     t = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text", "lang"])
@@ -114,7 +115,11 @@ def main(sf_dir: str, out: str = str(Path(__file__).with_name("pii_lstm.npz")),
     places = [(i, j) for i, (_, sp) in enumerate(rows) for j in range(len(sp))]
     print("documents", len(rows), "spans", len(places), {k: len(v) for k, v in pool.items()}, flush=True)
     p = lstm.init(SYMBOLS, int(hidden), TAGS, rng)
-    opt = gru.Adam(p, 0.006)
+    rate = 0.006
+    if begin:
+        with np.load(begin) as z:
+            p, rate = {k: z[k].astype(np.float32) for k in z.files}, rate / 2
+    opt = gru.Adam(p, rate)
     t0 = time.time()
     table = symbol_table()
     langs = list(pool)
@@ -144,7 +149,7 @@ def main(sf_dir: str, out: str = str(Path(__file__).with_name("pii_lstm.npz")),
                     if a >= 0:
                         tags[r, a] = 1 + 2 * k
         g, loss = lstm.gradients(p, np.ascontiguousarray(data.T), np.ascontiguousarray(tags.T))
-        opt.step(g, 0.006 * min(1, 1.2 * (1 - step / n_steps)))
+        opt.step(g, rate * min(1, 1.2 * (1 - step / n_steps)))
         if step % 200 == 199:
             print(step + 1, round(loss, 4), round(time.time() - t0), flush=True)
     gru.save(out, p)
