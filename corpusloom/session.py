@@ -100,4 +100,10 @@ def held(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Give back what the queries so far hold; call it when their results have been read or written."""
     while _held:
-        _held.pop().unpersist()
+        df = _held.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # a stopped session holds nothing
+            try:
+                df.unpersist()
+            except Exception as e:  # its JVM is gone
+                if "stopped" not in str(e) and "Py4J" not in type(e).__name__:
+                    raise
