@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
         a = b
 
 
+@lru_cache(1)
+def single_thread() -> None:
+    """Matrix products of this process on one thread: tasks fill the cores already, and small products on several threads
+    spend more time waiting for one another than they save."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        try:
+            lib = ctypes.CDLL(str(path))
+        except OSError:
+            continue
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE) -> DataFrame:
     """df through fn, slice by slice of its text column."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
         for batch in batches:
             for part in slices(batch, column, limit):
                 out = fn(part)
