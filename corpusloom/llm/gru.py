@@ -30,6 +30,7 @@ def _alive(size: np.ndarray) -> np.ndarray:
 def states(p: dict, d: str, data: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False):
     """Hidden state at every position of the flat data, for sequences sorted by falling length."""
     h = p[d + "u"].shape[0]
+    data = data.astype(np.intp)  # as take wants it
     # halving the gate weights beforehand leaves one tanh for both gates
     half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
     x, u = (p[d + "x"] + p[d + "b"]) * half, p[d + "u"] * half

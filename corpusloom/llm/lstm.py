@@ -84,7 +84,7 @@ def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) ->
     """Tag scores (positions, tags) of the symbols of all sequences."""
     order = np.argsort(-size, kind="stable")
     alive, head, place = packed(start[order], size[order])
-    symbol = data[place]
+    symbol = data[place].astype(np.intp)  # as take wants it
     e = np.empty((len(symbol), len(p["ob"])), np.float32)
     for d in "fb":
         states(p, d, symbol, alive, head, e)
