@@ -198,7 +198,7 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
     row = np.searchsorted(start, peak, "right") - 1
     real = (row >= 0) & (peak < stop[row])
     peak, row = peak[real], row[real]
-    reach = np.full(len(peak), 16)
+    reach = np.full(len(peak), 64)
     while True:  # a run that gains lies within a zone around its peaks, if no run at a zone's edge gains before it leaves
         zone_a, zone_b, at = _merged(np.maximum(peak - reach, start[row]), np.minimum(peak + reach + 1, stop[row]), row)
         n = zone_b - zone_a
@@ -225,6 +225,9 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return a, b - a
 
 
+FEW = 128
+
+
 def viterbi(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Best tag at every position of the flat emissions, sequences in any order."""
     order = np.argsort(-size, kind="stable")
@@ -239,6 +242,12 @@ def viterbi(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray)
     for t in range(1, int(size[0])):
         m = alive[t]
         at = start[:m] + t
+        if m <= FEW:  # all steps between tags at once: fewer calls
+            x = best[:m, :, None] + tr[None]
+            arg = x.argmax(1)
+            back[at] = arg
+            best[:m] = np.take_along_axis(x, arg[:, None], 1)[:, 0] + e[at]
+            continue
         # the running best over the previous tag, one tag at a time, stays within k columns
         top = best[:m, :1] + tr[0][None]
         arg = np.zeros((m, k), np.int8)
