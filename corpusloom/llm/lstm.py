@@ -34,63 +34,95 @@ def packed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return alive, head, start[np.arange(head[-1]) - head[step]] + step
 
 
-def states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray, scores: np.ndarray | None = None):
-    """Hidden state at every place of the layout and what training needs; with scores the tag scores are put there instead, forward first."""
+def states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden state at every place of the layout, and what training needs of each step."""
     h = p[d + "u"].shape[0]
-    slope = np.concatenate([np.full(2 * h, 0.25), np.ones(h)]).astype(np.float32)
-    middle = np.concatenate([np.full(2 * h, 0.5), np.zeros(h)]).astype(np.float32)
-    x, u = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope
-    # each gate in an array of its own: no operation then strides over the others
-    (xf, xo, xc), (uf, uo, uc) = ([np.ascontiguousarray(m[:, j * h : (j + 1) * h]) for j in range(3)] for m in (x, u))
+    x, u = p[d + "x"] + p[d + "b"], p[d + "u"]
     n = int(alive[0]) if len(alive) else 0
-    keep = scores is None
-    states_out = np.empty((len(symbol), h), np.float32) if keep else None
-    part = None if keep else np.empty((n, scores.shape[1]), np.float32)
-    bias = None if keep else np.tile(p["ob"], (n, 1))
-    hid, cell, forget, put, cand, fed, bent, low = (np.zeros((n, h), np.float32) for _ in range(8))
-    high = np.ones((n, h), np.float32)  # bounds in arrays: faster than bounds that are numbers
+    out, hid, cell = np.empty((len(symbol), h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
     saved = []
     for t in range(len(alive)) if d == "f" else range(len(alive) - 1, -1, -1):
         m, at = alive[t], head[t]
-        one = symbol[at : at + m]
-        f, o, g, b, c, state, tc = forget[:m], put[:m], cand[:m], fed[:m], cell[:m], hid[:m], bent[:m]
-        for table, weight, gate in ((xf, uf, f), (xo, uo, o), (xc, uc, g)):
-            np.take(table, one, 0, gate, "clip")
-            gate += np.matmul(state, weight, out=b)
-        for gate in (f, o):
-            np.maximum(gate, low[:m], out=gate)
-            np.minimum(gate, high[:m], out=gate)
-        np.tanh(g, out=g)
-        if keep:
-            before = state.copy(), c.copy()
-        c -= g
-        c *= f
-        c += g
-        np.tanh(c, out=tc)
-        np.multiply(tc, o, out=state)
-        if keep:
-            states_out[at : at + m] = state
-            saved.append((t, np.concatenate([f, o], 1), g.copy(), tc.copy(), *before))
-        elif d == "f":  # while the states are at hand
-            np.matmul(state, p["fo"], out=scores[at : at + m])
-        else:
-            q = np.matmul(state, p["bo"], out=part[:m])
-            q += bias[:m]
-            scores[at : at + m] += q
-    return states_out, saved
+        before = hid[:m].copy(), cell[:m].copy()
+        a = x[symbol[at : at + m]] + before[0] @ u
+        s = np.clip(a[:, : 2 * h] * np.float32(0.25) + np.float32(0.5), 0, 1)
+        g = np.tanh(a[:, 2 * h :])
+        cell[:m] = g + s[:, :h] * (before[1] - g)
+        tc = np.tanh(cell[:m])
+        hid[:m] = out[at : at + m] = tc * s[:, h:]
+        saved.append((t, s, g, tc, *before))
+    return out, saved
+
+
+def put_scores(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray, scores: np.ndarray) -> None:
+    """Tag scores of one direction at every place of the layout, forward first; nothing is kept for training.
+
+    Library calls of tanh would be the largest part of a step.  The candidate is kept as half its tanh, 1 / (1 + exp(-2 x)) - 1/2,
+    so the cell is half the cell; it stays within -1/2 and 1/2, as the gates only mix, where nine terms of the continued
+    fraction of tanh are right to 1e-7.  The factors -2, 1/4 and 2/15 are in the weights.
+    """
+    h = p[d + "u"].shape[0]
+    slope = np.concatenate([np.full(2 * h, 0.25), np.full(h, -2.0)]).astype(np.float32)
+    middle = np.concatenate([np.full(2 * h, 0.5), np.zeros(h)]).astype(np.float32)
+    fold = np.float32(2 / 15)
+    x, u, w = (p[d + "x"] + p[d + "b"]) * slope + middle, p[d + "u"] * slope * fold, p[d + "o"] * fold
+    # each gate in an array of its own: no operation then strides over the others
+    (xf, xo, xc), (uf, uo, uc) = ([np.ascontiguousarray(m[:, j * h : (j + 1) * h]) for j in range(3)] for m in (x, u))
+    one, half, k, a, b, c = map(np.float32, (1, 0.5, 63 / 22, 63 * 91 / 484 - 63 / 16, 91 / 22, 77 / 4))
+    n = int(alive[0]) if len(alive) else 0
+    part, bias = np.empty((n, scores.shape[1]), np.float32), np.tile(p["ob"], (n, 1))
+    hid, cell, put, cand, keep, free = (np.zeros((n, h), np.float32) for _ in range(6))
+    low, high = np.zeros((n, h), np.float32), np.ones((n, h), np.float32)  # bounds in arrays: faster than bounds that are numbers
+    with np.errstate(over="ignore"):  # the exponential of a large argument is infinite, its share 0
+        for t in range(len(alive)) if d == "f" else range(len(alive) - 1, -1, -1):
+            m, at = int(alive[t]), int(head[t])
+            now, lo, hi = symbol[at : at + m], low[:m], high[:m]
+            f, o, g, v, q, state = keep[:m], put[:m], cand[:m], free[:m], cell[:m], hid[:m]
+            for table, weight, gate in ((xf, uf, f), (xo, uo, o), (xc, uc, g)):
+                table.take(now, 0, gate, "clip")
+                np.matmul(state, weight, out=v)
+                gate += v
+            for gate in (f, o):
+                np.maximum(gate, lo, out=gate)
+                np.minimum(gate, hi, out=gate)
+            np.exp(g, out=g)
+            g += one
+            np.divide(one, g, out=g)
+            g -= half
+            q -= g
+            q *= f
+            q += g
+            # tanh(2 q) = 2/15 q (1 + c / (w + b - a / (w + k))), w = q q
+            np.multiply(q, q, out=g)
+            np.add(g, k, out=v)
+            np.divide(a, v, out=v)
+            np.subtract(g, v, out=v)
+            v += b
+            np.divide(c, v, out=v)
+            v += one
+            v *= q
+            np.multiply(v, o, out=state)
+            if d == "f":  # while the states are at hand
+                np.matmul(state, w, out=scores[at : at + m])
+            else:
+                s = np.matmul(state, w, out=part[:m])
+                s += bias[:m]
+                scores[at : at + m] += s
 
 
 def emissions(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tag scores (positions, tags) of the symbols of all sequences."""
+    """Tag scores (positions, tags) of the symbols of all sequences; 0 at positions of none."""
     order = np.argsort(-size, kind="stable")
     alive, head, place = packed(start[order], size[order])
     symbol = data[place].astype(np.intp)  # as take wants it
-    e = np.empty((len(symbol), len(p["ob"])), np.float32)
+    e = np.empty((len(symbol) + 1, len(p["ob"])), np.float32)
+    e[-1] = 0
     for d in "fb":
-        states(p, d, symbol, alive, head, e)
-    out = np.empty((len(data), e.shape[1]), np.float32)
-    out[place] = e
-    return out
+        put_scores(p, d, symbol, alive, head, e[:-1])
+    # rows are taken, not put: take copies them whole
+    back = np.full(len(data), len(symbol))
+    back[place] = np.arange(len(symbol))
+    return e.take(back, 0, mode="clip")
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -173,10 +205,11 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
     that leaving the run can bring.  Positions in no run whose bound is positive stay tag 0.  Stretches keep one such
     position at each side where the text goes on, whose other tags are ruled out in e.
     """
-    if not len(size):
-        return start, size
     order = np.argsort(start, kind="stable")
+    order = order[size[order] > 0]
     start, size = start[order], size[order]
+    if not len(size):
+        return start, size
     stop = start + size
     s = (tr - tr[0, 0]).astype(np.float64)
     # a step from j to k counts as that much less by shift[j] - shift[k]: any shift is right, this one makes a beginning
@@ -194,30 +227,17 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
         np.subtract(t[1:].max(0), t[0], out=gain[i : i + 4096])
     gain[start] = np.maximum(gain[start], (e[start, 1:] - shift).max(1) - e[start, 0])
     gain[stop - 1] += max(0.0, shift.max() - leave)
-    peak = np.flatnonzero(gain > 0)
-    row = np.searchsorted(start, peak, "right") - 1
-    real = (row >= 0) & (peak < stop[row])
-    peak, row = peak[real], row[real]
-    reach = np.full(len(peak), 64)
-    while True:  # a run that gains lies within a zone around its peaks, if no run at a zone's edge gains before it leaves
-        zone_a, zone_b, at = _merged(np.maximum(peak - reach, start[row]), np.minimum(peak + reach + 1, stop[row]), row)
-        n = zone_b - zone_a
-        zone = np.repeat(np.arange(len(n)), n)
-        head = np.concatenate([[0], np.cumsum(n)])[:-1]
-        pos = np.arange(len(zone)) + (zone_a - head)[zone]
-        g = gain[pos].astype(np.float64)
-        total = np.concatenate([[0.0], np.cumsum(g)])
-        # sums from the start of each zone, each zone wholly below the one before it
-        spread = np.add.reduceat(np.abs(g), head).max() * 2 + 1 if len(n) else 1.0
-        down = (total[head] + spread * np.arange(len(n)))[zone]
-        most = np.maximum.accumulate((total[1:] - down)[::-1])[::-1] - np.minimum.accumulate(total[:-1] - down)
-        tail = head + n - 1
-        wider = (zone_a > start[at]) & (most[head] > -1e-2) | (zone_b < stop[at]) & (most[tail] > -1e-2)
-        if not wider.any():
-            break
-        reach[wider[np.searchsorted(zone_a, peak, "right") - 1]] *= 4
+    n = size
+    head = np.concatenate([[0], np.cumsum(n)])[:-1]
+    pos = np.arange(n.sum()) + np.repeat(start - head, n)
+    g = gain.take(pos).astype(np.float64)
+    total = np.concatenate([[0.0], np.cumsum(g)])
+    # sums from the start of each sequence, each sequence wholly below the one before it
+    spread = np.add.reduceat(np.abs(g), head).max() * 2 + 1
+    down = np.repeat(total[head] + spread * np.arange(len(n)), n)
+    most = np.maximum.accumulate((total[1:] - down)[::-1])[::-1] - np.minimum.accumulate(total[:-1] - down)
     hit = np.flatnonzero(most + leave > -1e-2)
-    open_at, row = pos[hit], at[zone[hit]]
+    open_at, row = pos[hit], np.searchsorted(head, hit, "right") - 1
     lo, hi, row = _merged(open_at, open_at + 1, row)
     a, b = np.maximum(lo - 1, start[row]), np.minimum(hi + 1, stop[row])
     e[a[a < lo], 1:] = -1e9
@@ -225,7 +245,7 @@ def lively(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return a, b - a
 
 
-FEW = 128
+FEW = 64
 
 
 def viterbi(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -242,22 +262,20 @@ def viterbi(e: np.ndarray, tr: np.ndarray, start: np.ndarray, size: np.ndarray)
     for t in range(1, int(size[0])):
         m = alive[t]
         at = start[:m] + t
-        if m <= FEW:  # all steps between tags at once: fewer calls
+        if m <= FEW:  # fewer calls
             x = best[:m, :, None] + tr[None]
             arg = x.argmax(1)
             back[at] = arg
             best[:m] = np.take_along_axis(x, arg[:, None], 1)[:, 0] + e[at]
             continue
-        # the running best over the previous tag, one tag at a time, stays within k columns
-        top = best[:m, :1] + tr[0][None]
-        arg = np.zeros((m, k), np.int8)
-        for j in range(1, k):
-            x = best[:m, j : j + 1] + tr[j][None]
-            new = x > top
-            np.copyto(top, x, where=new)
-            arg[new] = j
-        back[at] = arg
-        best[:m] = top + e[at]
+        # by previous tag, next tag and sequence: all operations run along the sequences
+        x = np.ascontiguousarray(best[:m].T)[:, None] + tr[:, :, None]
+        top = x.max(0)
+        arg = np.zeros((k, m), np.int8)
+        for j in range(k - 1, -1, -1):  # the first of equals stays
+            np.copyto(arg, j, where=x[j] == top)
+        back[at] = arg.T
+        best[:m] = top.T + e[at]
     tag = best.argmax(1).astype(np.int8)
     for t in range(int(size[0]) - 1, -1, -1):
         m = alive[t]

@@ -87,6 +87,47 @@ def test_nothing_to_decode():
     assert len(lstm.lively(e[:0], np.zeros((3, 3), np.float32), none, none)[0]) == 0
 
 
+def test_scores_take_no_library_tanh(monkeypatch):
+    rng = np.random.default_rng(5)
+    p = {k: v * 2 for k, v in lstm.init(9, 6, 5, rng).items()}
+    p["fx"][0] *= 80  # arguments whose exponential is infinite
+    size = np.array([7, 300, 1, 41])
+    start = np.array([310, 4, 317, 318])
+    data = rng.integers(0, 9, 360)
+    want = np.zeros((360, 5), np.float32)
+    order = np.argsort(-size)
+    alive, head, place = lstm.packed(start[order], size[order])
+    want[place] = sum(lstm.states(p, d, data[place], alive, head)[0] @ p[d + "o"] for d in "fb") + p["ob"]
+    with monkeypatch.context() as m:
+        m.setattr(lstm.np, "tanh", None)  # it was two fifths of a step
+        got = lstm.emissions(p, data, start, size)
+    assert np.isfinite(got).all()
+    inside = np.zeros(360, bool)
+    inside[place] = True
+    assert np.abs(got - want)[inside].max() < 1e-4
+
+
+def test_one_weak_run_across_a_long_text():
+    e = np.zeros((9000, 3), np.float32)
+    e[:, 2], e[0, 1] = 0.02, 0.02  # only all positions together win
+    tr = np.array([[0, -60, -1e4], [-40, -1e4, 0], [-40, -1e4, 0]], np.float32)
+    got = lstm.viterbi(e.copy(), tr, *lstm.lively(e, tr, np.array([0, 4]), np.array([9000, 0])))
+    assert (got > 0).all()
+
+
+def test_steps_of_many_and_of_few_sequences_decode_alike(monkeypatch):
+    rng = np.random.default_rng(8)
+    size = rng.integers(1, 30, 200)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    e = rng.integers(-3, 4, (int(size.sum()), 5)).astype(np.float32)  # with ties
+    tr = rng.integers(-2, 3, (5, 5)).astype(np.float32)
+    got = []
+    for few in (0, 1000):
+        monkeypatch.setattr(lstm, "FEW", few)
+        got.append(lstm.viterbi(e, tr, start, size))
+    assert (got[0] == got[1]).all()
+
+
 # --- words that stand in markup
 
 SCHEMA = "rid long, collection string, split string, language string, source_url string, title string, text string"
