@@ -73,12 +73,66 @@ def logits(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np
     return states(p, "f", data, start, size) @ p["fo"] + states(p, "b", data, start, size) @ p["bo"] + p["ob"]
 
 
-def probabilities(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(classes, positions): one row for each class, which keeps the passes over the classes contiguous."""
+def packed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences alive at each step, where each step begins, and the flat position behind each place of the layout."""
+    alive = _alive(size)
+    head = np.concatenate([[0], np.cumsum(alive)])
+    step = np.repeat(np.arange(len(alive)), alive)
+    return alive, head, start[np.arange(head[-1]) - head[step]] + step
+
+
+def half_states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Half the hidden state at every place of the layout; nothing is kept for training.
+
+    Library calls of tanh would be the largest part of a step.  Gates come as 1 + exp(-x), by which is divided, and the
+    candidate as half its tanh, 1 / (1 + exp(-2 x)) - 1/2.  The factors are in the weights.
+    """
+    h = p[d + "u"].shape[0]
+    slope = np.concatenate([np.full(2 * h, -1.0), np.full(h, -2.0)]).astype(np.float32)
+    x, u = (p[d + "x"] + p[d + "b"]) * slope, p[d + "u"] * slope * 2
+    # each gate in an array of its own: no operation then strides over the others
+    (xz, xr, xc), (uz, ur, uc) = ([np.ascontiguousarray(m[:, j * h : (j + 1) * h]) for j in range(3)] for m in (x, u))
+    one, half = np.float32(1), np.float32(0.5)
+    n = int(alive[0])
+    out = np.empty((len(symbol), h), np.float32)
+    state, stay, reset, cand, free = (np.zeros((n, h), np.float32) for _ in range(5))
+    with np.errstate(over="ignore"):  # the exponential of a large argument is infinite, its share 0
+        for t in range(len(alive)) if d == "f" else range(len(alive) - 1, -1, -1):
+            m, at = int(alive[t]), int(head[t])
+            now = symbol[at : at + m]
+            s, z, r, c, v = state[:m], stay[:m], reset[:m], cand[:m], free[:m]
+            for table, weight, gate in ((xz, uz, z), (xr, ur, r)):
+                table.take(now, 0, gate, "clip")
+                np.matmul(s, weight, out=v)
+                gate += v
+                np.exp(gate, out=gate)
+                gate += one
+            np.divide(s, r, out=r)
+            xc.take(now, 0, c, "clip")
+            np.matmul(r, uc, out=v)
+            c += v
+            np.exp(c, out=c)
+            c += one
+            np.divide(one, c, out=c)
+            c -= half
+            # s + z (c - s)
+            c -= s
+            c /= z
+            s += c
+            out[at : at + m] = s
+    return out
+
+
+def probabilities(p: dict, data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """(classes, positions), of all positions or those of at: one row for each class, which keeps the passes over the classes contiguous."""
     order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    x = p["fo"].T @ states(p, "f", data, start, size).T
-    x += p["bo"].T @ states(p, "b", data, start, size).T
+    alive, head, place = packed(start[order], size[order])
+    symbol = data[place].astype(np.intp)  # as take wants it
+    x = (p["fo"].T * 2) @ half_states(p, "f", symbol, alive, head).T
+    x += (p["bo"].T * 2) @ half_states(p, "b", symbol, alive, head).T
+    back = np.zeros(len(data), np.intp)
+    back[place] = np.arange(len(place))
+    x = x.take(back if at is None else back[at], 1)
     x += p["ob"][:, None]
     x -= x.max(0)
     np.exp(x, out=x)

@@ -73,13 +73,12 @@ def label_positions(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np
     n = b - a
     at = np.concatenate([[0], np.cumsum(n)])
     src = np.arange(at[-1]) - np.repeat(at[:-1], n) + np.repeat(start[row] + a, n)
-    q = gru.probabilities(p, data[src], at[:-1], n)
     inner = np.arange(at[-1]) - np.repeat(at[:-1], n)
     lead, tail = np.repeat(np.where(a > 0, MARGIN, 0), n), np.repeat(np.where(last, n, n - MARGIN), n)
-    take = (inner >= lead) & (inner < tail)
-    out = np.empty((q.shape[0], len(data)), np.float32)
-    out[:, src[take]] = q[:, take]
-    return out
+    take = np.flatnonzero((inner >= lead) & (inner < tail))
+    core = np.zeros(len(data), np.intp)
+    core[src[take]] = take
+    return gru.probabilities(p, data[src], at[:-1], n, core)
 
 
 def read(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .gru import _alive
+from .gru import _alive, packed
 
 
 def init(symbols: int, hidden: int, tags: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -26,14 +26,6 @@ def init(symbols: int, hidden: int, tags: int, rng: np.random.Generator) -> dict
     return p
 
 
-def packed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences alive at each step, where each step begins, and the flat position behind each place of the layout."""
-    alive = _alive(size)
-    head = np.concatenate([[0], np.cumsum(alive)])
-    step = np.repeat(np.arange(len(alive)), alive)
-    return alive, head, start[np.arange(head[-1]) - head[step]] + step
-
-
 def states(p: dict, d: str, symbol: np.ndarray, alive: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, list]:
     """Hidden state at every place of the layout, and what training needs of each step."""
     h = p[d + "u"].shape[0]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from corpusloom.llm import codepoints as C
-from corpusloom.llm import language, lstm, markup, mixture, overlap, packing, pairs, residue, stock
+from corpusloom.llm import gru, language, lstm, markup, mixture, overlap, packing, pairs, residue, stock
 
 sys.path.insert(0, str(Path(__file__).parent))  # held_carriers
 
@@ -107,6 +107,37 @@ def test_scores_take_no_library_tanh(monkeypatch):
     assert np.abs(got - want)[inside].max() < 1e-4
 
 
+def test_language_scores_take_no_library_tanh(monkeypatch):
+    rng = np.random.default_rng(6)
+    p = gru.init(6, 4, rng)
+    p["fx"][0] *= 400  # arguments whose exponential is infinite
+    size = np.array([7, 300, 1, 41])
+    start = np.array([300, 0, 307, 308])
+    data = rng.integers(0, 9, 349).astype(np.uint8)
+    want = gru.softmax(gru.logits(p, data, start, size)).T
+    with monkeypatch.context() as m:
+        m.setattr(gru.np, "tanh", None)
+        got = gru.probabilities(p, data, start, size)
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_windows_of_long_texts_are_put_together_in_place():
+    rng = np.random.default_rng(9)
+    size = np.array([900, 3, 448, 1500])
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    data = rng.integers(32, 127, int(size.sum())).astype(np.uint8)
+    got, p = language.label_positions(data, start, size), language.net()
+    assert got.shape == (len(language.CODES), len(data))
+    step = language.WINDOW - 2 * language.MARGIN
+    for a, m in zip(start, size):
+        pieces = max(1, -(-(m - 2 * language.MARGIN) // step))
+        for i in range(pieces):
+            lo, hi = i * step, m if i == pieces - 1 else i * step + language.WINDOW
+            alone = gru.probabilities(p, data[a + lo : a + hi], np.array([0]), np.array([hi - lo]))
+            x, y = language.MARGIN if i else 0, hi - lo - (language.MARGIN if i < pieces - 1 else 0)
+            assert np.abs(got[:, a + lo + x : a + lo + y] - alone[:, x:y]).max() < 1e-5
+
+
 def test_one_weak_run_across_a_long_text():
     e = np.zeros((9000, 3), np.float32)
     e[:, 2], e[0, 1] = 0.02, 0.02  # only all positions together win
