@@ -24,7 +24,7 @@ from .textio import map_text
 
 WINDOW, MARGIN = 1024, 32
 HAN_BUCKETS = 512
-READ = 1 << 20  # bytes read at once
+READ = 1 << 21  # bytes read at once: fewer would make the calls of a step dearer than its numbers
 OWN = "".join(sorted({*ZH_FAMILY, *ZH_GIVEN, *"".join(JA_FAMILY + JA_GIVEN), *"号路街巷市区县省镇村室栋楼町丁目番都道府県州"} - {*map(chr, range(0x3400))}))  # Han letters that have a symbol of their own
 SYMBOLS = 128 + 192 + 64 + 192 + HAN_BUCKETS + len(OWN) + 4
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -74,32 +74,28 @@ def tag(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     i = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     a = i * (WINDOW - 2 * MARGIN)
     last = i == pieces[row] - 1
-    b = np.where(last, size[row], a + WINDOW)
-    n = b - a
-    at = np.concatenate([[0], np.cumsum(n)])
-    inner = np.arange(at[-1]) - np.repeat(at[:-1], n)
-    src = inner + np.repeat(off[row] + a, n)
-    p = net()
-    live = np.flatnonzero(n > 0)
-    e = lstm.emissions(p, symbol_table()[C.clip(cp)][src], at[:-1][live], n[live])
-    tags = lstm.viterbi(e, p["tr"], *lstm.lively(e, p["tr"], at[:-1][live], n[live]))
-    take = (inner >= np.repeat(np.where(a > 0, MARGIN, 0), n)) & (inner < np.repeat(np.where(last, n, n - MARGIN), n))
+    n = np.where(last, size[row], a + WINDOW) - a
+    at = np.cumsum(n) - n
+    src = np.arange(n.sum()) + np.repeat(off[row] + a - at, n)
+    tags = lstm.decode(net(), symbol_table()[C.clip(cp)][src], at, n)
+    hit = np.flatnonzero(tags)
+    w = np.searchsorted(at, hit, "right") - 1
+    inner = hit - at[w]
+    take = (inner >= np.where(a > 0, MARGIN, 0)[w]) & (inner < np.where(last, n, n - MARGIN)[w])
     out = np.zeros(len(cp), np.int8)
-    out[src[take]] = tags[take]
+    out[src[hit[take]]] = tags[hit[take]]
     return out
 
 
 def tagged_spans(tags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and kind of runs of one kind; a continuation without beginning (at a seam) begins one."""
-    kind = (tags.astype(np.int64) + 1) // 2
-    edge = np.zeros(len(tags) + 1, bool)
-    edge[off] = True
-    first = (kind > 0) & ((tags % 2 == 1) | edge[:-1])
-    first[1:] |= (kind[1:] > 0) & (kind[1:] != kind[:-1])
-    start = np.flatnonzero(first)
-    stop = np.flatnonzero((kind == 0) | first | edge[:-1])
-    at = np.searchsorted(stop, start, "right")
-    return start, np.append(stop, len(tags))[at], kind[start] - 1
+    hit = np.flatnonzero(tags)
+    t = tags[hit].astype(np.int64)
+    kind = (t + 1) // 2
+    first = (t % 2 == 1) | (off[np.searchsorted(off, hit, "right") - 1] == hit)
+    first[1:] |= (np.diff(hit) > 1) | (np.diff(kind) != 0)
+    first[:1] = True
+    return hit[first], hit[np.append(first[1:], True)[: len(hit)]] + 1, kind[first] - 1
 
 
 _LEFT = r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:\s(?:dot|DOT)\s[A-Za-z0-9._%+-]+)?"

@@ -107,6 +107,28 @@ def test_scores_take_no_library_tanh(monkeypatch):
     assert np.abs(got - want)[inside].max() < 1e-4
 
 
+def test_a_step_has_two_calls_of_products_and_only_stretches_are_decoded(monkeypatch):
+    rng = np.random.default_rng(12)
+    p = {k: v * 2 for k, v in lstm.init(9, 6, 5, rng).items()}
+    p["fo"], p["bo"] = p["fo"] * 6, p["bo"] * 6
+    p["tr"] = rng.standard_normal((5, 5)).astype(np.float32)
+    size = np.array([7, 0, 300, 1, 41, 300])
+    start = np.cumsum(size) - size
+    data = rng.integers(0, 9, int(size.sum()))
+    e = lstm.emissions(p, data, start, size)
+    p["ob"][0] = np.quantile(e[:, 1:].max(1) - e[:, 0], 0.95)  # most positions are of no kind
+    e[:, 0] += p["ob"][0]
+    want = lstm.viterbi(e, p["tr"], start[size > 0], size[size > 0])
+    products, decoded = [], []
+    matmul, viterbi = np.matmul, lstm.viterbi
+    monkeypatch.setattr(lstm.np, "matmul", lambda *a, **k: products.append(1) or matmul(*a, **k))
+    monkeypatch.setattr(lstm, "viterbi", lambda e, *a: decoded.append(len(e)) or viterbi(e, *a))
+    got = lstm.decode(p, data, start, size)
+    assert (got == want).all() and (want > 0).any()
+    assert len(products) == 2 * 2 * 300  # one for the three gates and one for the scores; it was four a step
+    assert decoded[0] < len(data)  # it was handed the scores of all positions
+
+
 def test_language_scores_take_no_library_tanh(monkeypatch):
     rng = np.random.default_rng(6)
     p = gru.init(6, 4, rng)
