@@ -131,7 +131,7 @@ def same_query(answers: DataFrame, query: str, key: str, order: list[str]) -> Da
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, digest): a digest of a table as a multiset of rows, whatever their order; repeated rows count."""
     line = F.concat_ws(chr(31), *[F.coalesce(F.col(c).cast("string"), F.lit(chr(0))) for c in columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(X.sha(line), 1, 12), 16, 10).cast("long")).cast("decimal(38,0)").alias("digest"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(X.sha(line), 1, 12), 16, 10).cast("decimal(28,0)")).alias("digest"))  # 48 bits each: as long, the sum overflows at some 65,000 rows
 
 
 def metadata_manifest(records: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Search folding, stored index, split files, manifests, ledger prefixes and lifecycle steps."""
+"""Search folding, stored index, split files, manifests, ledger prefixes, digests and lifecycle steps."""
+
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,15 @@ def test_lifecycle_steps(spark):
     assert sorted((x.record_id, x.rid, x.found) for x in audit.point(r, spark.createDataFrame([("a",)], "record_id string")).collect()) == [("a", 1, True), ("a", 2, True)]
     assert [x.found for x in audit.point(r, spark.createDataFrame([("zz",)], "record_id string")).collect()] == [False]
     assert [x.rid for x in audit.without_ids(r, spark.createDataFrame([("a",), (None,)], "record_id string"), "record_id").collect()] == [3]
+
+
+def test_table_digest_sums_beyond_a_long(spark):
+    n = 140_000
+    df = spark.range(0, n, 1, 2).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 7)).alias("text"))
+    line = lambda i: f"{i}\x1f" + (f"t{i % 7}" if i % 3 else "\0")
+    want = sum(int(hashlib.sha256(line(i).encode()).hexdigest()[:12], 16) for i in range(n))
+    got = audit.table_digest(df, ["id", "text"])
+    assert want > 2**63 and got.schema["digest"].dataType.simpleString() == "decimal(38,0)"
+    assert tuple(got.first()) == (n, want)
+    twice = audit.table_digest(df.union(df), ["id", "text"]).first()
+    assert tuple(twice) == (2 * n, 2 * want)
